@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from saxframe.llm.decontaminate import op3_decontamination
+from saxframe.llm.html import op4_html_extraction
 from saxframe.llm.lines import op5_line_dedup
 from saxframe.llm.mixing import OP8_SQL, op8_mixing
 from saxframe.llm.quality import op10_quality_classifier
 from saxframe.llm.simhash import op6_simhash_near_dedup
+from saxframe.llm.vectors import op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_mixing": op8_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }

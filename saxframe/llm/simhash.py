@@ -172,7 +172,7 @@ def links(classes: DataFrame, radius: int, agree: int = 0) -> DataFrame:
     made = stage(made, "simhash-tiles")
     until = F.element_at(F.array(*[F.lit(t) for t in last]), F.col("tile") + 1)
     others = made.select(*[F.col(c).alias("other" if c == "tile" else f"other_{c}") for c in made.columns])
-    pairs = made.select("*", F.explode(F.sequence(F.col("tile"), until)).alias("other")).repartition(max(1, min(4096, sum(u - t + 1 for t, u in enumerate(last)))), "other", "tile").join(others, "other")
+    pairs = made.select("*", F.explode(F.sequence(F.col("tile"), until)).alias("other")).repartition(min(4096, 2 * len(last)), "other").join(others, "other")
     return pairs.mapInArrow(partial(_compare, radius=radius, agree=agree), "a long, b long")
 
 
