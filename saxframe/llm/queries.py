@@ -13,10 +13,12 @@ from saxframe.llm.mixing import OP8_SQL, op8_mixing
 from saxframe.llm.quality import op10_quality_classifier
 from saxframe.llm.scoring import op1_lm_scoring
 from saxframe.llm.simhash import op6_simhash_near_dedup
+from saxframe.llm.suffixes import op2_suffix_array_dedup
 from saxframe.llm.vectors import op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
