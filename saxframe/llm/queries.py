@@ -10,6 +10,7 @@ from saxframe.llm.decontaminate import op3_decontamination
 from saxframe.llm.html import op4_html_extraction
 from saxframe.llm.lines import op5_line_dedup
 from saxframe.llm.mixing import OP8_SQL, op8_mixing
+from saxframe.llm.passages import op9_passage_dedup
 from saxframe.llm.quality import op10_quality_classifier
 from saxframe.llm.scoring import op1_lm_scoring
 from saxframe.llm.simhash import op6_simhash_near_dedup
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_passage_dedup": op9_passage_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
