@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,30 +33,44 @@ FIELDS: list[tuple[str, pa.DataType]] = [
 _DECLS = {"element_decl", "attlist_decl", "entity_decl", "unparsed_entity_decl", "notation_decl", "skipped_entity"}
 
 
-def event_columns(rows: list[tuple[int, tuple]]) -> dict[str, list]:
-    """Columns of (seq, event of the machine)."""
-    out: dict[str, list] = {name: [] for name, _ in FIELDS}
-    for seq, (kind, name, text, attrs, depth, byte, line, col, path, more) in rows:
-        more = more or {}
-        pi = kind == "processing_instruction"
-        out["seq"].append(seq)
-        out["event_type"].append(kind)
-        out["name"].append(None if pi else name)
-        out["attrs"].append(None if attrs is None else [{"name": a[0], "value": a[1], "specified": a[2], "type": a[3]} for a in attrs])
-        out["text"].append(text)
-        out["target"].append(name if pi else None)
-        out["byte_count"].append(more.get("size"))
-        out["decl"].append(
-            {"kind": kind, "element": name if kind in ("element_decl", "attlist_decl") else None} | {k: more.get(k) for k in ("attribute", "att_type", "default_value", "required", "is_param", "value")} if kind in _DECLS else None
-        )
-        out["depth"].append(depth)
-        out["byte_index"].append(byte)
-        out["line"].append(line)
-        out["col"].append(col)
-        out["entity_path"].append(list(path))
-        for k in ("n_specified", "id_index", "public_id", "system_id", "base", "notation", "has_internal_subset", "version", "encoding", "standalone", "ns_uri"):
-            out[k].append(more.get(k))
-    return out
+_MORE = ("public_id", "system_id", "base", "notation", "has_internal_subset", "version", "encoding", "standalone", "ns_uri")
+
+
+def event_arrays(seqs: list[int], rows: list[tuple]) -> pa.StructArray:
+    """The machine's events as one array of structs, built column by column."""
+    n = len(rows)
+    kinds, names, texts, attrs, depths, offsets, lines, cols, sizes, paths, mores = zip(*rows, strict=True) if rows else ((),) * 11
+    names, targets, decls = list(names), [None] * n, [None] * n
+    more: dict[str, list] = {k: [None] * n for k in _MORE}
+    specified = [None if a is None else 2 * len(a) for a in attrs]
+    ids = [None if a is None else -1 for a in attrs]
+    for k, extra in enumerate(mores):
+        kind = kinds[k]
+        if kind == "processing_instruction":
+            targets[k], names[k] = names[k], None
+        if kind in _DECLS:
+            decls[k] = {"kind": kind, "element": names[k] if kind in ("element_decl", "attlist_decl") else None} | {c: (extra or {}).get(c) for c in ("attribute", "att_type", "default_value", "required", "is_param", "value")}
+        if extra:
+            for c in more.keys() & extra.keys():
+                more[c][k] = extra[c]
+            if "n_specified" in extra:
+                specified[k], ids[k] = extra["n_specified"], extra["id_index"]
+    flat = [a for some in attrs if some for a in some]
+    columns = list(zip(*flat, strict=True)) if flat else [(), (), (), ()]
+    ends = np.cumsum([0, *[len(a) if a else 0 for a in attrs]]).astype(np.int32)
+    pieces = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _attrs.value_type, strict=True)], fields=list(_attrs.value_type))
+    lists = pa.ListArray.from_arrays(pa.array(ends), pieces, type=_attrs, mask=pa.array([a is None for a in attrs], pa.bool_()))
+    given = {"seq": seqs, "event_type": kinds, "name": names, "attrs": lists, "n_specified": specified, "id_index": ids, "text": texts, "target": targets, "decl": decls, "depth": depths, "byte_index": offsets, "byte_count": sizes, "line": lines, "col": cols, "entity_path": paths} | more
+    made = []
+    for name, kind in FIELDS:
+        values = given[name]
+        if not isinstance(values, pa.Array):
+            values = pa.array(values, kind) if name in _ALWAYS or values.count(None) < n else pa.nulls(n, kind)
+        made.append(values)
+    return pa.StructArray.from_arrays(made, fields=[pa.field(c, t) for c, t in FIELDS])
+
+
+_ALWAYS = {"seq", "event_type", "depth", "byte_index", "line", "col", "entity_path"}
 
 
 def verdict(machine: Machine) -> dict:
@@ -76,14 +91,13 @@ def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str |
         for content, encoding in zip(batch["content"].to_pylist(), codes, strict=True):
             machine = Machine(options if encoding is None else Options(**{**options.__dict__, "encoding": encoding}))
             machine.feed(content or b"", True)
-            rows += enumerate(machine.take())
+            rows += machine.take()
             ends.append(len(rows))
             verdicts.append(verdict(machine))
-        flat = event_columns(rows)
-        struct = pa.StructArray.from_arrays([pa.array(flat[n], t) for n, t in FIELDS], fields=[pa.field(n, t) for n, t in FIELDS])
+        seqs = [k for a, b in zip(ends[:-1], ends[1:], strict=True) for k in range(b - a)]
         out = {c: batch[c] for c in batch.schema.names if c not in ("content", per_row)}
         out |= {k: pa.array([v[k] for v in verdicts], t) for k, t in _verdict_types.items()}
-        yield pa.RecordBatch.from_pydict(out | {"events": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)})
+        yield pa.RecordBatch.from_pydict(out | {"events": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), event_arrays(seqs, rows))})
 
 
 def parse_documents(docs: DataFrame, options: Options | None = None, encoding_column: str | None = None) -> DataFrame:

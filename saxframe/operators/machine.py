@@ -26,6 +26,9 @@ _end = re.compile(f"</({NAME}){S}*>")
 _ref = re.compile(f"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|({NAME}));")
 _pi = re.compile(f"<\\?({NAME})(?:{S}+(.*?))?\\?>", re.S)
 _run = re.compile("[^<&]+")
+# What most of a document is made of: tags whose values need no normalising, and text without references.
+_plain = re.compile(f"<({NAME})((?:{S}+{NAME}{S}*={S}*(?:\"[^<\"&\\t\\r\\n]*\"|'[^<'&\\t\\r\\n]*'))*){S}*(/?)>|</({NAME}){S}*>|([^<&\\r]+)")
+_pairs = re.compile("([^ \\t\\r\\n=]+)[ \\t\\r\\n]*=[ \\t\\r\\n]*(?:\"([^\"]*)\"|'([^']*)')")
 _bad = re.compile("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\ud800-\\udfff\\ufffe\\uffff]")
 _space = re.compile(f"{S}+")
 _piece = re.compile(f"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|({NAME}));|(\\r\\n|[\\t\\r\\n])|([^&\\t\\r\\n]+)|(&)")
@@ -172,6 +175,7 @@ class Machine:
         self.open: list[str] = []
         self.levels: list[int] = []
         self.encoding: str | None = None
+        self.safe, self.narrow = 0, False
 
     # -- input ------------------------------------------------------------------------------------
 
@@ -194,6 +198,10 @@ class Machine:
             self.text = self.text[self.pos :] + self.decoder(data, final)
             self.mark -= self.pos
             self.pos = 0
+            # found once for each piece of input: how far it is free of illegal characters, and whether a character is a byte
+            unsafe = _bad.search(self.text)
+            self.safe = unsafe.start() if unsafe else len(self.text)
+            self.narrow = self.decoder.size("\u00e9") == 1 if self.decoder.name != "utf-8" else self.text.isascii()
             self._parse(final)
         except Stop as e:
             self._stop(e.code, self.pos if e.at is None else e.at)
@@ -272,8 +280,8 @@ class Machine:
                 self.col += len(part)
             self.mark = to
 
-    def _row(self, kind: str, name=None, text=None, attrs=None, **more) -> tuple:
-        return (kind, name, text, attrs, len(self.stack), self.byte, self.line, self.col, tuple(self.open), more or None)
+    def _row(self, kind: str, name=None, text=None, attrs=None, size=None, **more) -> tuple:
+        return (kind, name, text, attrs, len(self.stack), self.byte, self.line, self.col, size, tuple(self.open), more or None)
 
     def emit(self, kind: str, name=None, text=None, attrs=None, **more) -> None:
         """Adjacent character data is one event: its pieces gather until another event comes."""
@@ -824,6 +832,11 @@ class Machine:
             return False
         if self.cdata:
             return self._cdata(final)
+        if self.stack and "\r" not in text[at : at + 1] and not (self.open or self.attlists or self.o.namespaces):
+            self._plain_content(final)
+            if self.phase != "content" or self.pos >= len(text):
+                return self.pos > at
+            at = self.pos
         c = text[at]
         if c == "<":
             two = text[at : at + 2]
@@ -880,6 +893,71 @@ class Machine:
         self.pos = end
         return end < len(text)
 
+    def _plain_content(self, final: bool) -> None:
+        """Plain tags and text from pos on, in one loop; it leaves what is anything else, and all errors, to the rest."""
+        text, stack, out, match = self.text, self.stack, self.events, _plain.match
+        n, pos = self.safe, self.pos
+        self._move(pos)
+        line, col, byte, narrow = self.line, self.col, self.byte, self.narrow
+        while pos < n:
+            m = match(text, pos)
+            if m is None:
+                m = _ref.match(text, pos)
+                if m is None or m[3] not in C.PREDEFINED:
+                    break
+            end = m.end()
+            if end > n:
+                break
+            which = m.lastindex
+            if m.re is _ref:
+                if not self.pieces:
+                    out.append(("character_data", None, None, None, len(stack), byte, line, col, None, (), None))
+                self.pieces.append(C.PREDEFINED[m[3]])
+            elif which == 5:
+                if end == len(text) and not final or text.find("]]>", pos, end) >= 0:
+                    break
+                piece = m[5]
+                if self.pieces:
+                    self.pieces.append(piece)
+                else:
+                    out.append(("character_data", None, None, None, len(stack), byte, line, col, None, (), None))
+                    self.pieces.append(piece)
+            elif which == 4:
+                name = m[4]
+                if stack[-1] != name:
+                    break
+                if self.pieces:
+                    self._whole()
+                out.append(("end_element", name, None, None, len(stack), byte, line, col, None, (), None))
+                stack.pop()
+            else:
+                attrs = []
+                if m.end(2) > m.start(2):
+                    attrs = [(k, a or b, True, "CDATA") for k, a, b in _pairs.findall(text, m.start(2), m.end(2))]
+                    if len(attrs) > 1 and len({a[0] for a in attrs}) < len(attrs):
+                        break
+                if self.pieces:
+                    self._whole()
+                name = m[1]
+                stack.append(name)
+                out.append(("start_element", name, None, attrs, len(stack), byte, line, col, end - pos, (), None))
+                if m[3]:
+                    out.append(("end_element", name, None, None, len(stack), byte, line, col, None, (), None))
+                    stack.pop()
+            byte += end - pos if narrow else self.decoder.size(text[pos:end])
+            breaks = text.count("\n", pos, end)
+            if breaks:
+                line += breaks
+                col = end - text.rfind("\n", pos, end) - 1
+            else:
+                col += end - pos
+            pos = end
+            if not stack:
+                self.phase = "epilog"
+                break
+        self.pos = self.mark = pos
+        self.line, self.col, self.byte = line, col, byte
+
     def _cdata(self, final: bool) -> bool:
         text, at = self.text, self.pos
         end = text.find("]]>", at)

@@ -35,7 +35,7 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, optio
         data, final = waiting.pop(expected)
         machine.feed(data, final)
         expected += 1
-        for kind, name, text, attrs, depth, byte, line, col, _, _ in machine.take():
+        for kind, name, text, attrs, depth, byte, line, col, *_ in machine.take():
             rows.append((key[0], seq, kind, name, text, None if attrs is None else " ".join(f"{a[0]}={a[1]}" for a in attrs), depth, byte, line, col, None))
             seq += 1
         if (machine.code or machine.finished) and not done:
