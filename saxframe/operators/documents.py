@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from saxframe.deploy import ship
@@ -137,6 +137,33 @@ def handlers(parsed: DataFrame, registered: list[str], expand: bool = True) -> D
     return rows.withColumn("event_type", F.when(F.col("event_type").isin(*registered), F.col("event_type")).otherwise(F.lit(fallback)))
 
 
+def with_raw(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Events with raw, the bytes of the document from the event's place to the next one's: what a default handler gets.
+
+    Several events of one token share its place; the last of them has the bytes, the others none. An
+    event inside an entity has the bytes of the reference.
+    """
+    order = Window.partitionBy("doc_id").orderBy("seq")
+    until = F.lead("byte_index").over(order)
+    cut = rows.withColumn("__to", until).join(docs.select("doc_id", F.col("content").alias("__content")), "doc_id")
+    end = F.coalesce("__to", F.octet_length("__content"))
+    return cut.withColumn("raw", F.substring("__content", (F.col("byte_index") + 1).cast("int"), (end - F.col("byte_index")).cast("int"))).drop("__to", "__content")
+
+
+def namespace_bindings(parsed: DataFrame) -> DataFrame:
+    """Namespace scopes as intervals: doc_id, prefix (null: default), uri, start_seq, end_seq, level (1: outermost of its prefix).
+
+    Starts and ends of one prefix nest, so at one level they alternate and a start's partner is the next row.
+    """
+    key = ("doc_id", F.coalesce("name", F.lit("")))
+    order = Window.partitionBy(*key).orderBy("seq")
+    step = F.when(F.col("event_type") == "start_namespace", 1).otherwise(-1)
+    rows = events(parsed, ["start_namespace", "end_namespace"]).withColumn("__after", F.sum(step).over(order))
+    rows = rows.withColumn("level", F.when(F.col("event_type") == "start_namespace", F.col("__after")).otherwise(F.col("__after") + 1))
+    ends = F.lead("seq").over(Window.partitionBy(*key, "level").orderBy("seq"))
+    return rows.withColumn("end_seq", ends).where("event_type = 'start_namespace'").select("doc_id", F.col("name").alias("prefix"), F.col("ns_uri").alias("uri"), F.col("seq").alias("start_seq"), "end_seq", "level")
+
+
 def dtd(parsed: DataFrame) -> dict[str, DataFrame]:
     """The relations of the documents' type definitions, by name."""
     rows = events(parsed, ["entity_decl", "unparsed_entity_decl", "attlist_decl", "notation_decl", "element_decl"])

@@ -76,8 +76,12 @@ class Options:
     strict_entities: bool = False
     reject_not_standalone: bool = False
     expand_entities: bool = True
-    #: Further encodings: for a name, its Python codec or the code points of the 256 bytes (-1: none).
-    encodings: dict[str, str | list[int]] = field(default_factory=dict)
+    #: Further encodings: for a name, its Python codec or the code points of the 256 bytes (-1: none), or
+    #: these and a function from bytes to a code point, for characters of 2 to 4 bytes (-2 to -4).
+    encodings: dict[str, str | list[int] | tuple] = field(default_factory=dict)
+    #: Events after which a document is stopped: for good, or suspended until resume().
+    stop_after: int | None = None
+    resumable: bool = False
 
     def __post_init__(self) -> None:
         if self.max_amplification != self.max_amplification or self.max_amplification < 1 and self.max_amplification != 0:
@@ -86,6 +90,9 @@ class Options:
             self.max_amplification = C.MAX_AMPLIFICATION
         for name, points in self.encodings.items():
             if not isinstance(points, str):
+                points, convert = points if isinstance(points, tuple) else (points, None)
+                if convert is None and any(p < -1 for p in points):
+                    raise ValueError(f"{name}: a function is needed for characters of several bytes")
                 if len(points) != 256 or any(not -4 <= p <= 0xFFFF for p in points):
                     raise ValueError(f"{name}: 256 code points up to 65535 are needed")
                 if any(points[b] != b for b in b"\t\n\r !\"#%&'()*+,-./0123456789:;<=>?ABCDEFGHIJKLMNOPQRSTUVWXYZ[]_abcdefghijklmnopqrstuvwxyz|"):
@@ -101,22 +108,34 @@ class Decoder:
     """Bytes to text, piece by piece; remembers what it could not decode instead of raising."""
 
     def __init__(self, kind: str | list[int]) -> None:
-        self.points = kind if not isinstance(kind, str) else None
+        self.points, self.convert = (None, None) if isinstance(kind, str) else kind if isinstance(kind, tuple) else (kind, None)
         self.name = "custom" if self.points else kind
         self.rest = b""
         self.code = 0
+        self.widths: dict[str, int] = {}
 
     def __call__(self, data: bytes, final: bool) -> str:
         if self.code:
             return ""
         data, self.rest = self.rest + data, b""
         if self.points:
-            out = []
-            for b in data:
-                if self.points[b] < 0:
+            out, at = [], 0
+            while at < len(data):
+                point, width = self.points[data[at]], 1
+                if point < -1:
+                    width = -point
+                    if at + width > len(data):
+                        self.rest = data[at:]
+                        break
+                    point = self.convert(data[at : at + width])
+                if point < 0:
                     self.code = C.INVALID_TOKEN
                     break
-                out.append(chr(self.points[b]))
+                out.append(chr(point))
+                self.widths[chr(point)] = width
+                at += width
+            if final and self.rest and not self.code:
+                self.code = C.PARTIAL_CHAR
             return "".join(out)
         decode = codecs.getincrementaldecoder(self.name)("strict")
         try:
@@ -130,6 +149,8 @@ class Decoder:
         return text
 
     def size(self, text: str) -> int:
+        if self.convert:
+            return sum(self.widths.get(c, 1) for c in text)
         if self.points or self.name in ("latin-1", "ascii") or text.isascii() and self.name == "utf-8":
             return len(text)
         return len(text.encode(self.name, "surrogatepass"))
@@ -176,6 +197,7 @@ class Machine:
         self.levels: list[int] = []
         self.encoding: str | None = None
         self.safe, self.narrow = 0, False
+        self.stopped_at = 0
 
     # -- input ------------------------------------------------------------------------------------
 
@@ -201,7 +223,7 @@ class Machine:
             # found once for each piece of input: how far it is free of illegal characters, and whether a character is a byte
             unsafe = _bad.search(self.text)
             self.safe = unsafe.start() if unsafe else len(self.text)
-            self.narrow = self.decoder.size("\u00e9") == 1 if self.decoder.name != "utf-8" else self.text.isascii()
+            self.narrow = not self.decoder.convert and (self.text.isascii() if self.decoder.name == "utf-8" else self.decoder.size("\u00e9") == 1)
             self._parse(final)
         except Stop as e:
             self._stop(e.code, self.pos if e.at is None else e.at)
@@ -209,6 +231,23 @@ class Machine:
             self._whole()
         return 0 if self.code else 1
 
+    def resume(self) -> int:
+        """Goes on after stop_after events; the limit counts anew from here."""
+        if self.code != C.SUSPENDED:
+            self.code = self.code or C.NOT_SUSPENDED
+            return 0
+        self.code, self.stopped_at = 0, self.n_events + len(self.events)
+        try:
+            self._parse(self.finished)
+        except Stop as e:
+            self._stop(e.code, self.pos if e.at is None else e.at)
+        if self.code or self.finished:
+            self._whole()
+        return 0 if self.code else 1
+
+    def _limit(self) -> bool:
+        return self.o.stop_after is not None and self.n_events + len(self.events) - self.stopped_at >= self.o.stop_after
+
     def _stop(self, code: int, at: int) -> None:
         self.code = code
         self._move(at)
@@ -336,6 +375,8 @@ class Machine:
             self.phase = "prolog"
         while True:
             before = self.pos
+            if self._limit():
+                raise Stop(C.SUSPENDED if self.o.resumable else C.ABORTED)
             if self.phase == "prolog":
                 more = self._prolog(final)
             elif self.phase == "subset":
@@ -832,7 +873,7 @@ class Machine:
             return False
         if self.cdata:
             return self._cdata(final)
-        if self.stack and "\r" not in text[at : at + 1] and not (self.open or self.attlists or self.o.namespaces):
+        if self.stack and text[at] != "\r" and self.o.stop_after is None and not (self.open or self.attlists or self.o.namespaces):
             self._plain_content(final)
             if self.phase != "content" or self.pos >= len(text):
                 return self.pos > at
