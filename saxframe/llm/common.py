@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,35 @@ def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def sample_texts(df: DataFrame, column: str, most: int) -> list[str]:
+    """So many different values of a text column, those of the least hashes; equal values count once.
+
+    First the bound is found among the hashes alone, then the values below it come to the driver.
+    """
+    hashed = df.where(F.col(column).isNotNull()).select(F.col(column).alias("value"), F.xxhash64(column).alias("h"))
+    bound = hashed.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if bound is None:
+        return []
+    return [r[0] for r in hashed.where(F.col("h") <= bound).groupBy("h").agg(F.first("value").alias("value")).orderBy("h").select("value").collect()]
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of about so many bytes of a column, so that what is made of a part stays small.
+
+    A batch without rows is passed on, so that a step gives its columns for an empty table too.
+    """
+    for batch in batches:
+        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while True:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+            if at >= batch.num_rows:
+                break
+
+
 def runs(items: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """[from, to) of consecutive items of most bytes in all at most, or of one larger item."""
     at, size = 0, 0

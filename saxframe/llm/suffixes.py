@@ -19,14 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import prefix_sums, range_hashes, release, row_key, stage, table, texts
+from saxframe.llm.common import prefix_sums, range_hashes, release, row_key, slices, stage, table, texts
 
 LENGTH = 400
 GRAM = 32
 #: Window starts that are looked at together.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Bytes of a shard, about, after which the next anchor begins a new one.
-SHARD = 4 << 20
+SHARD = 1 << 20
 SEPARATOR = 0xFF
 
 
@@ -257,7 +257,7 @@ _MASK = (1 << 64) - 1
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         items = texts(batch["text"])
         rows: list[tuple] = []
         for k, lo, hi, place, h in anchors(items, length, gram):
@@ -270,7 +270,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         cols: dict[str, list] = {c: [] for c in ("h", "d1", "d2", "owned", "body")}
         for text, marks in zip(texts(batch["text"]), batch["marks"].to_pylist(), strict=True):
             for m in marks:
@@ -313,7 +313,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         size, removed, spans, digest, left = [], [], [], [], []
         for text, ranges in zip(texts(batch["text"]), batch["ranges"].to_pylist(), strict=True):
             merged: list[list[int]] = []
