@@ -16,12 +16,17 @@ from saxframe.operators.machine import Machine, Options, content_model
 
 ATTRS = "array<struct<name string, value string, specified boolean, type string>>"
 DECL = "struct<kind string, element string, attribute string, att_type string, default_value string, required boolean, is_param boolean, value string>"
-EVENT = (
-    f"struct<seq bigint, event_type string, name string, attrs {ATTRS}, n_specified int, id_index int, text string, target string, public_id string, system_id string, base string, notation string, "
-    f"has_internal_subset boolean, version string, encoding string, standalone int, decl {DECL}, ns_uri string, depth int, byte_index bigint, byte_count int, line bigint, col bigint, entity_path array<string>>"
-)
+#: The columns of an event, in order.
+EVENT = {
+    "seq": "bigint", "event_type": "string", "name": "string", "attrs": ATTRS, "n_specified": "int", "id_index": "int", "text": "string", "target": "string", "public_id": "string", "system_id": "string", "base": "string", "notation": "string",
+    "has_internal_subset": "boolean", "version": "string", "encoding": "string", "standalone": "int", "decl": DECL, "ns_uri": "string", "depth": "int", "byte_index": "bigint", "byte_count": "int", "line": "bigint", "col": "bigint", "entity_path": "array<string>",
+}
 VERDICT = "status int, error_code int, error string, line bigint, col bigint, byte_index bigint, n_events bigint, direct_bytes bigint, indirect_bytes bigint, entities_opened bigint, entity_depth int"
-PARSED = f"{VERDICT}, events array<{EVENT}>"
+
+
+def parsed_ddl(columns: list[str]) -> str:
+    return f"{VERDICT}, events array<struct<{', '.join(f'{c} {EVENT[c]}' for c in columns)}>>"
+
 
 _attrs = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("specified", pa.bool_()), ("type", pa.string())]))
 _decl = pa.struct([("kind", pa.string()), ("element", pa.string()), ("attribute", pa.string()), ("att_type", pa.string()), ("default_value", pa.string()), ("required", pa.bool_()), ("is_param", pa.bool_()), ("value", pa.string())])
@@ -36,8 +41,9 @@ _DECLS = {"element_decl", "attlist_decl", "entity_decl", "unparsed_entity_decl",
 _MORE = ("public_id", "system_id", "base", "notation", "has_internal_subset", "version", "encoding", "standalone", "ns_uri")
 
 
-def event_arrays(seqs: list[int], rows: list[tuple]) -> pa.StructArray:
-    """The machine's events as one array of structs, built column by column."""
+def event_arrays(seqs: list[int], rows: list[tuple], wanted: list[str] | None = None) -> pa.StructArray:
+    """The machine's events as one array of structs, built column by column, the wanted ones only."""
+    fields = [(c, t) for c, t in FIELDS if wanted is None or c in wanted]
     n = len(rows)
     kinds, names, texts, attrs, depths, offsets, lines, cols, sizes, paths, mores = zip(*rows, strict=True) if rows else ((),) * 11
     names, targets, decls = list(names), [None] * n, [None] * n
@@ -55,19 +61,20 @@ def event_arrays(seqs: list[int], rows: list[tuple]) -> pa.StructArray:
                 more[c][k] = extra[c]
             if "n_specified" in extra:
                 specified[k], ids[k] = extra["n_specified"], extra["id_index"]
-    flat = [a for some in attrs if some for a in some]
+    needs = {c for c, _ in fields}
+    flat = [a for some in attrs if some for a in some] if "attrs" in needs else []
     columns = list(zip(*flat, strict=True)) if flat else [(), (), (), ()]
-    ends = np.cumsum([0, *[len(a) if a else 0 for a in attrs]]).astype(np.int32)
+    ends = np.cumsum([0, *[len(a) if a and "attrs" in needs else 0 for a in attrs]]).astype(np.int32)
     pieces = pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _attrs.value_type, strict=True)], fields=list(_attrs.value_type))
     lists = pa.ListArray.from_arrays(pa.array(ends), pieces, type=_attrs, mask=pa.array([a is None for a in attrs], pa.bool_()))
     given = {"seq": seqs, "event_type": kinds, "name": names, "attrs": lists, "n_specified": specified, "id_index": ids, "text": texts, "target": targets, "decl": decls, "depth": depths, "byte_index": offsets, "byte_count": sizes, "line": lines, "col": cols, "entity_path": paths} | more
     made = []
-    for name, kind in FIELDS:
+    for name, kind in fields:
         values = given[name]
         if not isinstance(values, pa.Array):
             values = pa.array(values, kind) if name in _ALWAYS or values.count(None) < n else pa.nulls(n, kind)
         made.append(values)
-    return pa.StructArray.from_arrays(made, fields=[pa.field(c, t) for c, t in FIELDS])
+    return pa.StructArray.from_arrays(made, fields=[pa.field(c, t) for c, t in fields])
 
 
 _ALWAYS = {"seq", "event_type", "depth", "byte_index", "line", "col", "entity_path"}
@@ -84,25 +91,34 @@ def verdict(machine: Machine) -> dict:
 _verdict_types = {k: pa.int32() if k in ("status", "error_code", "entity_depth") else pa.string() if k == "error" else pa.int64() for k in ("status", "error_code", "error", "line", "col", "byte_index", "n_events", "direct_bytes", "indirect_bytes", "entities_opened", "entity_depth")}
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None, types: frozenset | None, columns: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, ends, verdicts = [], [0], []
+        rows, seqs, ends, verdicts = [], [], [0], []
         codes = batch[per_row].to_pylist() if per_row else [None] * batch.num_rows
         for content, encoding in zip(batch["content"].to_pylist(), codes, strict=True):
             machine = Machine(options if encoding is None else Options(**{**options.__dict__, "encoding": encoding}))
             machine.feed(content or b"", True)
-            rows += machine.take()
+            found = machine.take()
+            if types is None:
+                rows += found
+                seqs += range(len(found))
+            else:
+                kept = [(k, e) for k, e in enumerate(found) if e[0] in types]
+                rows += [e for _, e in kept]
+                seqs += [k for k, _ in kept]
             ends.append(len(rows))
             verdicts.append(verdict(machine))
-        seqs = [k for a, b in zip(ends[:-1], ends[1:], strict=True) for k in range(b - a)]
         out = {c: batch[c] for c in batch.schema.names if c not in ("content", per_row)}
         out |= {k: pa.array([v[k] for v in verdicts], t) for k, t in _verdict_types.items()}
-        yield pa.RecordBatch.from_pydict(out | {"events": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), event_arrays(seqs, rows))})
+        yield pa.RecordBatch.from_pydict(out | {"events": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), event_arrays(seqs, rows, columns))})
 
 
-def parse_documents(docs: DataFrame, options: Options | None = None, encoding_column: str | None = None) -> DataFrame:
+def parse_documents(docs: DataFrame, options: Options | None = None, encoding_column: str | None = None, types: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """docs (doc_id, content; further columns are carried along) with the verdict and the events of each document.
 
+    types is what handlers are registered for and columns what they look at: other events and columns
+    are not built. n_events and seq count all events.
+
     Events that come before the first error are delivered. Documents are independent, so nothing is
     shuffled; filter documents before this step, as no predicate passes through it. Store contents of
     external entities in the options only up to some MB: they travel with the task.
@@ -113,7 +129,9 @@ def parse_documents(docs: DataFrame, options: Options | None = None, encoding_co
     ship(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("content", encoding_column)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(partial(_parsed, options=options, per_row=encoding_column), f"{ddl}, {PARSED}")
+    wanted = [c for c in EVENT if columns is None or c in columns]
+    run = partial(_parsed, options=options, per_row=encoding_column, types=None if types is None else frozenset(types), columns=wanted)
+    return docs.mapInArrow(run, f"{ddl}, {parsed_ddl(wanted)}")
 
 
 def events(parsed: DataFrame, types: list[str] | None = None) -> DataFrame:

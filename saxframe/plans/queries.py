@@ -109,7 +109,7 @@ def q_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(7 AS INT) AS error_code, count(*) AS n FROM pages HAVING count(*) > 0")
 def q_pages_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "pages"), "page_id", "html"))
+    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "pages"), "page_id", "html"), types=[], columns=["seq"])
     return D.doc_status(parsed).groupBy("error_code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -134,11 +134,11 @@ def q_lineitem_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = _text('<line n="', F.col("l_linenumber"), '"><qty>', F.col("l_quantity"), "</qty></line>")
     held = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("x"))
     docs = from_table(held, "l_orderkey", _text('<order key="', F.col("l_orderkey"), '">', F.col("x"), "</order>"))
-    e = D.parse_documents(docs).select("doc_id", "events")
-    # a line and its quantity are neighbours in the array: no join
-    lines = e.select("doc_id", "events", F.explode(F.filter("events", lambda v: (v["event_type"] == "start_element") & (v["name"] == "line"))).alias("l"))
-    qty = F.element_at("events", (F.col("l.seq") + 3).cast("int"))["text"]
-    return lines.select(F.col("doc_id").cast("long").alias("l_orderkey"), _attr(F.col("l.attrs"), "n").cast("int").alias("l_linenumber"), qty.cast("double").alias("l_quantity"), "l.depth")
+    e = D.parse_documents(docs, types=["start_element", "character_data"], columns=["seq", "event_type", "name", "attrs", "text", "depth"])
+    # a line's quantity is the second event after it among these: no join
+    at = e.select("doc_id", "events", F.posexplode("events").alias("k", "l")).where("l.name = 'line'")
+    qty = F.element_at("events", F.col("k") + 3)["text"]
+    return at.select(F.col("doc_id").cast("long").alias("l_orderkey"), _attr(F.col("l.attrs"), "n").cast("int").alias("l_linenumber"), qty.cast("double").alias("l_quantity"), "l.depth")
 
 
 @query("SELECT '/world/region/nation' AS path, r_name || '>' || n_name AS label, CAST(3 AS BIGINT) AS depth FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT '/world/region', r_name, 2 FROM region UNION ALL SELECT '/world', '', 1")
@@ -157,15 +157,15 @@ def q_region_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("path", full.alias("label"), F.col("depth").cast("long").alias("depth"))
 
 
-def _starts(parsed: DataFrame) -> DataFrame:
-    return D.events(parsed, ["start_element"])
+def _starts(docs: DataFrame, options: Options | None = None) -> DataFrame:
+    return D.events(D.parse_documents(docs, options, types=["start_element"], columns=["name", "attrs", "n_specified"]))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'NONE' ELSE c_mktsegment END AS segment, CAST(CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 4 END AS INT) AS n_specified FROM customer")
 def q_attr_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(_text(' seg="', F.col("c_mktsegment"), '"'))
     text = _text('<!DOCTYPE c [<!ATTLIST c seg CDATA "NONE" id ID #REQUIRED>]><c id="', F.col("c_custkey"), '"', seg, "/>")
-    found = _starts(D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text)))
+    found = _starts(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text))
     return found.select(F.col("doc_id").cast("long").alias("c_custkey"), _attr(F.col("attrs"), "seg").alias("segment"), "n_specified")
 
 
@@ -173,7 +173,7 @@ def q_attr_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_attr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = _text("\t", F.replace("p_name", F.lit(" "), F.lit("\n\t")), "\r\nx")
     text = _text('<!DOCTYPE p [<!ATTLIST p b NMTOKENS #IMPLIED>]><p a="', value, '" b="', value, '"/>')
-    found = _starts(D.parse_documents(from_table(_t(spark, sf_dir, "part"), "p_partkey", text)))
+    found = _starts(from_table(_t(spark, sf_dir, "part"), "p_partkey", text))
     return found.select(F.col("doc_id").cast("long").alias("p_partkey"), _attr(F.col("attrs"), "a").alias("plain"), _attr(F.col("attrs"), "b").alias("tokens"))
 
 
@@ -181,8 +181,8 @@ def q_attr_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_ns_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.when(F.col("c_custkey") % 2 == 0, " xmlns:p='urn:inner'").otherwise("")
     text = _text("<p:root xmlns:p='urn:outer'><p:mid", inner, "><p:leaf/></p:mid><p:last/></p:root>")
-    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text), Options(namespaces=True))
-    names = F.transform(F.filter("events", lambda e: e["event_type"] == "start_element"), lambda e: e["name"])
+    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text), Options(namespaces=True), types=["start_element"], columns=["name"])
+    names = F.transform("events", lambda e: e["name"])
     return parsed.select(F.col("doc_id").cast("long").alias("c_custkey"), F.element_at(names, 3).alias("name"), F.element_at(names, 4).alias("after"))
 
 
@@ -202,7 +202,7 @@ def q_entity_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _text("<!DOCTYPE r [<!ENTITY e '0123456789'>]><r>", F.expr("repeat('&e;', cast(c_custkey % 40 as int))"), "</r>")
-    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text), Options(max_amplification=1.5, activation_bytes=100))
+    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", text), Options(max_amplification=1.5, activation_bytes=100), types=[], columns=["seq"])
     return parsed.select(F.col("doc_id").cast("long").alias("c_custkey"), "direct_bytes", "indirect_bytes", "error_code")
 
 
@@ -211,7 +211,7 @@ def _rule(name: str, broken: Callable[[], tuple[Column, Column]], code: int, col
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         good, bad = broken()
-        parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", F.when(F.col("c_custkey") % 5 == 0, bad).otherwise(good)))
+        parsed = D.parse_documents(from_table(_t(spark, sf_dir, "customer"), "c_custkey", F.when(F.col("c_custkey") % 5 == 0, bad).otherwise(good)), types=[], columns=["seq"])
         return D.doc_status(parsed).select(F.col("doc_id").cast("long").alias("c_custkey"), "status", "error_code", "col", "n_events")
 
     run.__name__ = name
