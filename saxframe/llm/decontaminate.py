@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import runs, table, texts
+from saxframe.llm.common import runs, slices, table, texts
 
 Q = 8
 #: Edits that an occurrence of an item may have, as a share of the item's length.
@@ -153,7 +153,7 @@ def align(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int]:
 
 def _matches(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
     index = items.value
-    for batch in batches:
+    for batch in slices(batches):
         all_docs = [normal(t.decode()) for t in texts(batch["text"])]
         rows: list[tuple] = []
         for a, b in runs(all_docs, RUN_BYTES):
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = EDIT_RATE, columns: t
 
 def _clean(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
     index = items.value
-    for batch in batches:
+    for batch in slices(batches):
         docs = [normal(t.decode()) for t in texts(batch["text"])]
         held = {a + d for a, b in runs(docs, RUN_BYTES) for d, *_ in index.matches(docs[a:b])}
         yield batch.filter(pa.array([k not in held for k in range(batch.num_rows)], pa.bool_()))

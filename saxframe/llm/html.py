@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import mixed, prefix_sums, range_hashes, table, texts
+from saxframe.llm.common import mixed, prefix_sums, range_hashes, sample_texts, slices, table, texts
 
 PATH, WORDS, PLAIN = 192, 48, 6
 HIDDEN = 24
@@ -381,7 +381,7 @@ def main_text(items: list[Block], keep: np.ndarray) -> str:
 
 def _extract(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     labeller = model.value
-    for batch in batches:
+    for batch in slices(batches, "html"):
         out = []
         pages = texts(batch["html"])
         for at in range(0, len(pages), 256):
@@ -395,12 +395,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     text is the page's main text: the blocks that the labeller keeps, in order, joined by line feeds;
     empty for a null or empty page. Nothing else is dropped or cut. Rows with equal or null ids are
-    pages like any other. The labeller is fitted on SAMPLE_PAGES pages, those of the least hashes of
-    url and id, and on MADE_PAGES made-up ones. An empty table has no rows.
+    pages like any other. The labeller is fitted on SAMPLE_PAGES different pages, those of the least
+    hashes, and on MADE_PAGES made-up ones. An empty table has no rows.
     """
     read = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    sample = read.where("html IS NOT NULL").orderBy(F.xxhash64("url", "page_id"), "page_id", "url").limit(SAMPLE_PAGES)
-    model = fitted([r[0] for r in sample.select("html").collect()])
+    model = fitted(sample_texts(read, "html", SAMPLE_PAGES))
     kind = {f.name: f.dataType.simpleString() for f in read.schema.fields}
     return read.mapInArrow(partial(_extract, model=pages.sparkSession.sparkContext.broadcast(model)), f"page_id {kind['page_id']}, url {kind['url']}, text string, n_chars long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import WORD, release, stage, table
+from saxframe.llm.common import WORD, stage, table
 
 #: Of the sources in code point order, null last: these weights, repeating.
 WEIGHTS = (5, 2, 1)
@@ -61,13 +61,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     filled = stage(targets(by_source, ranked_weights(weights), epochs).select(F.col("source").alias("t"), "source_size", "target", "wanted"), "mix-targets")
     before = F.sum("held").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = buckets.select("s", F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
-    plan = stage(starts.join(filled, F.col("s").eqNullSafe(F.col("t"))).drop("t"), "mix-plan")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("wanted") / F.col("source_size"))).otherwise(0).cast("long")
-    rest = F.col("wanted") - whole * F.col("source_size")
-    joined = sized.withColumn("__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int")).join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("__bucket") == F.col("b")))
+    plan = starts.join(filled, F.col("s").eqNullSafe(F.col("t"))).select(
+        F.col("s").alias("__s"), F.col("b").alias("__b"), "source_size", "target", whole.alias("__whole"), (F.col("wanted") - whole * F.col("source_size") - F.col("before")).alias("__rest")
+    )
+    plan = stage(plan, "mix-plan")
+    joined = sized.withColumn("__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int")).join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     inside = F.sum("size").over(Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before") - inside))
-    return joined.select(*given, "size", "source_size", "target", (whole * F.col("size") + extra).alias("taken"))
+    extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("__rest") - inside))
+    return joined.select(*given, "size", "source_size", "target", (F.col("__whole") * F.col("size") + extra).alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import fold_of, mixed, prefix_sums, range_hashes, runs, table, texts
+from saxframe.llm.common import fold_of, mixed, prefix_sums, range_hashes, runs, slices, table, texts
 
 BUCKET_BITS = 18
 DIMENSIONS = 12
@@ -70,7 +70,7 @@ def buckets(items: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         # n-grams that run over an item's end belong to none
         for back in range(1, n):
             found[np.maximum(start[1:] - 1 - back, 0)] = -1
-        found[start[1:-1] - 1] = -1
+        found[start[1:] - 1] = -1
         yield found, np.minimum(start, len(found))
 
 
@@ -158,7 +158,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, left_out: int,
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     learned = model.value
-    for batch in batches:
+    for batch in slices(batches):
         score = learned.score(texts(batch["text"]))
         yield pa.RecordBatch.from_pydict({name: batch[name] for name in batch.schema.names} | {"score": pa.array(score)})
 

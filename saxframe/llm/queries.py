@@ -14,8 +14,8 @@ from saxframe.llm.passages import op9_passage_dedup
 from saxframe.llm.quality import op10_quality_classifier
 from saxframe.llm.scoring import op1_lm_scoring
 from saxframe.llm.simhash import op6_simhash_near_dedup
-from saxframe.llm.suffixes import op2_suffix_array_dedup
-from saxframe.llm.vectors import op7_embedding_near_dedup
+from saxframe.llm.suffixes import OP2_SQL, op2_suffix_array_dedup
+from saxframe.llm.vectors import OP7_SQL, op7_embedding_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -30,4 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op7_embedding_near_dedup": OP7_SQL,
+    "op8_mixing": OP8_SQL,
+}

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import row_key, stage, table, texts
+from saxframe.llm.common import row_key, slices, stage, table, texts
 from saxframe.llm.graph import Forest, components
 
 #: Fingerprints of a tile at most, about; a tile is a few MB with its sketches.
@@ -60,7 +60,7 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], words: int, sketched: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         fp, sketches = [], []
         for text in texts(batch["text"]):
             hashes = shingle_hashes(text, words)
@@ -203,18 +203,19 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 12, similarity: floa
     their text. The columns of docs are kept as they are.
     """
     fields = docs.columns
-    keyed = docs.select("*", *row_key("doc_id", "text"))
-    rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").alias("at"), "text")
+    k1, k2 = row_key("doc_id", "text")
+    keyed = docs.select("*", k1.alias("__k1"), k2.alias("__k2"))
+    rows = keyed.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2")).alias("at"), F.col("text").cast("string").alias("text"))
     verify = similarity > 0
     agree = int(np.ceil(SKETCH * (similarity + (1 - similarity) / 256) - 2 * np.sqrt(SKETCH * similarity * (1 - similarity)))) if verify else 0
     held = stage(fingerprints(rows, words, verify), "simhash-keep")
     classes = held.groupBy("fp").agg(F.min("at").alias("least"), *([F.min("sketch").alias("sketch")] if verify else []))
     found = components(links(classes, radius, agree), "simhash-keep-links").withColumnRenamed("node", "fp")
     first = classes.join(found, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("least").alias("at"))
-    kept = first.select("at.k1", "at.k2").distinct()
-    once = keyed.join(kept, ["k1", "k2"], "left_semi")
+    kept = first.select(F.col("at.k1").alias("__k1"), F.col("at.k2").alias("__k2")).distinct()
+    once = keyed.join(kept, ["__k1", "__k2"], "left_semi")
     # Equal rows share a key: one of them stays.
-    return once.dropDuplicates(["k1", "k2"]).select(*fields)
+    return once.dropDuplicates(["__k1", "__k2"]).select(*fields)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

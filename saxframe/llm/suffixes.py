@@ -350,7 +350,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *row_key("doc_id", "text"))
     long_enough = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
     marks = stage(long_enough.mapInArrow(partial(_anchor_rows, length=length, gram=gram), "k1 long, k2 long, lo long, hi long, h long, d1 long, d2 long"), "suffix-anchors")
-    more = marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # Written first, so that the join has exchanges of its own and Spark can split a frequent anchor's partition.
+    more = stage(marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "suffix-anchors-again")
     members = stage(marks.join(more, "h"), "suffix-members")
     release(marks)
     kinds = stage(members.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("shown")), "suffix-kinds")
@@ -375,3 +376,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS m FROM (SELECT r, h, unnest(range(0, greatest(0, length(h) // 2 - 399))) AS i FROM d)),
+starts AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM starts),
+runs AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM marked),
+spans AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, g),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM spans),
+kept AS (
+  SELECT d.r, count(a) AS n, coalesce(sum(b - a), 0) AS gone,
+         coalesce(string_agg(substr(h, CAST(2 * p + 1 AS BIGINT), CAST(2 * (a - p) AS BIGINT)), '' ORDER BY a), '') || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)) AS k
+  FROM d LEFT JOIN gaps ON d.r = gaps.r GROUP BY d.r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(kept.gone AS BIGINT) AS n_removed, CAST(kept.n AS BIGINT) AS n_spans, sha256(unhex(kept.k)) AS kept_sha256
+FROM d JOIN kept ON d.r = kept.r
+"""

@@ -174,3 +174,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, confidence: float =
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e,
+         embedding IS NOT NULL AND len(embedding) > 0 AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), false)
+           AND coalesce(list_bool_or(list_transform(embedding, lambda x: x <> 0)), false) AS fit
+  FROM embeddings),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+  ON a.fit AND b.fit AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND CASE WHEN a.fit AND b.fit AND len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 END),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept
+FROM v LEFT JOIN (SELECT x, count(*) AS n FROM pairs GROUP BY x) n ON n.x = v.vec_id
+JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) c ON c.x = v.vec_id
+"""

@@ -1,5 +1,7 @@
 """The pipeline's stages, one after another, and that each does its part."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from saxframe.llm import decontaminate, lines
 from saxframe.llm.common import stage
@@ -35,3 +37,15 @@ def test_empty_and_null_documents(spark):
         for _, function in corpus_pipeline.STAGES:
             frame = stage(function(spark, frame, DATA), "t")
         assert frame.count() == 0
+
+
+def test_clashing_columns(spark):
+    names = ["s", "b", "t", "before", "wanted", "held", "bucket", "size", "k1", "k2", "fp", "row", "ranges", "at", "score", "learn", "sketch", "h", "n"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40)
+    extended = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    plain, more = docs, extended
+    for name, function in corpus_pipeline.STAGES:
+        plain, more = stage(function(spark, plain, DATA), name), stage(function(spark, more, DATA), name)
+        assert sorted(r["doc_id"] for r in plain.collect()) == sorted(r["doc_id"] for r in more.collect()), name
+        kept = [n for n in names if n != "size"]
+        assert all(r[n] == names.index(n) for r in more.collect() for n in kept), name
