@@ -188,17 +188,23 @@ def test_vector_estimates_are_unbiased_and_bounds_hold():
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 12), min_size=1, max_size=40), st.integers(1, 9))
+@given(st.lists(st.lists(st.integers(0, 12), min_size=1, max_size=30), min_size=1, max_size=4), st.integers(1, 9))
 def test_compact_windows_cover_each_run_once(tokens, least):
-    x = np.array(tokens, np.uint64)
-    for (key, left, mid, right), m in zip(passages.compact_windows(x, least), passages.MULTIPLIERS, strict=False):
+    x = np.array([t for part in tokens for t in part], np.uint64)
+    sizes = np.array([len(p) for p in tokens])
+    starts = np.cumsum(sizes) - sizes
+    for (key, left, mid, right), m in zip(passages.compact_windows(x, starts, least), passages.MULTIPLIERS, strict=False):
         base = x ^ (x >> np.uint64(32))
         h = base * np.uint64(m)
         h ^= h >> np.uint64(29)
+        runs = [(i, j) for k, a, c, b in zip(key, left, mid, right, strict=True) for i in range(a, c + 1) for j in range(c, b + 1) if j - i + 1 >= least]
+        assert len(runs) == len(set(runs))
         seen = {(i, j): k for k, a, c, b in zip(key, left, mid, right, strict=True) for i in range(a, c + 1) for j in range(c, b + 1)}
-        for i in range(len(x)):
-            for j in range(i + least - 1, len(x)):
-                assert seen[i, j] == h[i : j + 1].min()
+        for s, n in zip(starts, sizes, strict=True):
+            for i in range(s, s + n):
+                for j in range(i + least - 1, s + n):
+                    assert seen[i, j] == h[i : j + 1].min()
+        assert all(any(s <= i and j < s + n for s, n in zip(starts, sizes, strict=True)) for i, j in runs)
 
 
 def test_passages(spark):
