@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import row_key, stage, table, texts
+from saxframe.llm.common import row_key, slices, stage, table, texts
 
 #: One in so many windows of lines ends a chunk.
 DIVISOR = 4
@@ -56,7 +56,7 @@ def chunks(text: bytes) -> list[tuple[int, int, int]]:
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[tuple] = []
         for k, text in enumerate(texts(batch["text"])):
             for n, (start, end, lines) in enumerate(chunks(text)):
@@ -71,9 +71,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _flagged_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of repeated chunks, once for each batch and digest unless the bytes differ."""
-    for batch in batches:
+    for batch in slices(batches):
         seen: set[tuple[int, int, bytes]] = set()
-        for text, ranges in zip(texts(batch["text"]), batch["ranges"].to_pylist(), strict=True):
+        for text, ranges in zip(texts(batch["text"]), batch["__ranges"].to_pylist(), strict=True):
             for r in ranges or ():
                 seen.add((r["d1"], r["d2"], text[r["start"] : r["end"]]))
         d1, d2, body = map(list, zip(*seen, strict=True)) if seen else ([], [], [])
@@ -81,9 +81,9 @@ def _flagged_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _without(batches: Iterator[pa.RecordBatch], unequal: frozenset) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         kept, removed, lines = [], [], []
-        for text, ranges in zip(texts(batch["text"]), batch["ranges"].to_pylist(), strict=True):
+        for text, ranges in zip(texts(batch["text"]), batch["__ranges"].to_pylist(), strict=True):
             gone = {r["start"] for r in ranges or () if not r["first"] and (r["d1"], r["d2"]) not in unequal}
             if not gone:
                 kept.append(text)
@@ -101,7 +101,7 @@ def _without(batches: Iterator[pa.RecordBatch], unequal: frozenset) -> Iterator[
             lines.append(n)
         body = pa.array(kept, pa.binary()).cast(pa.string())
         body = pa.compute.if_else(batch["text"].is_null(), pa.scalar(None, pa.string()), body)
-        out = {name: batch[name] for name in batch.schema.names if name not in ("text", "ranges")}
+        out = {name: batch[name] for name in batch.schema.names if name not in ("text", "__ranges")}
         yield pa.RecordBatch.from_pydict(out | {"text": body, "removed_chunks": pa.array(removed, pa.int32()), "removed_lines": pa.array(lines, pa.int32())})
 
 
@@ -118,25 +118,26 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Digests find the repeats and only their bytes are compared: once for each batch and digest, by
     grouping. A digest that stands for two different byte strings removes nothing.
     """
-    keyed = docs.select(*[c for c in docs.columns if c not in ("removed_chunks", "removed_lines")], *row_key("doc_id", "text"))
-    keyed = keyed.withColumnsRenamed({"k1": "__k1", "k2": "__k2"})
+    k1, k2 = row_key("doc_id", "text")
+    given = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
+    keyed = docs.select(*given, k1.alias("__k1"), k2.alias("__k2"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = keyed.select("doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").where("text IS NOT NULL AND instr(text, '\n') > 0")
     found = stage(slim.mapInArrow(_chunk_rows, f"doc_id {kind}, k1 long, k2 long, n int, start long, end long, d1 long, d2 long"), "line-chunks")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "n")
-    repeated = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("first")).where("c > 1")
+    # Written first, so that the join has exchanges of its own and Spark can split a frequent chunk's partition.
+    repeated = stage(found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("first")).where("c > 1"), "line-repeats")
     flagged = found.join(repeated, ["d1", "d2"]).select("k1", "k2", F.struct("start", "end", "d1", "d2", ((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.n") == F.col("n"))).alias("first")).alias("r"))
-    per_row = flagged.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set("r").alias("ranges"))
+    per_row = flagged.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set("r").alias("__ranges"))
     held = keyed.join(per_row, ["__k1", "__k2"], "left")
     held = stage(held, "line-rows")
-    bodies = held.where("ranges IS NOT NULL").select("text", "ranges").mapInArrow(_flagged_bytes, "d1 long, d2 long, body binary")
+    bodies = held.where("__ranges IS NOT NULL").select("text", "__ranges").mapInArrow(_flagged_bytes, "d1 long, d2 long, body binary")
     unequal = bodies.groupBy("d1", "d2", "body").agg(F.lit(1).alias("one")).groupBy("d1", "d2").count().where("count > 1")
     # Two byte strings of one 128-bit digest: none are expected, so this set is empty.
     differ = frozenset((r[0], r[1]) for r in unequal.select("d1", "d2").collect())
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name not in ("text", "ranges")) + ", text string, removed_chunks int, removed_lines int"
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name not in ("text", "__ranges")) + ", text string, removed_chunks int, removed_lines int"
     out = held.mapInArrow(partial(_without, unequal=differ), ddl)
-    order = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
-    return out.select(*order, "removed_chunks", "removed_lines")
+    return out.select(*given, "removed_chunks", "removed_lines")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
