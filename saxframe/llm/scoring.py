@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import fold_of, runs, stage, table, texts
+from saxframe.llm.common import fold_of, runs, sample_texts, slices, stage, table, texts
 
 #: Slots of each predictor's table, as powers of two: order 3, the word so far after the last short
 #: word (short words tell languages apart), order 5, and the word so far.
@@ -28,13 +28,16 @@ TABLE_BITS = (20, 21, 21, 21)
 #: Bytes of a short word at most.
 SHORT = 4
 SPACE, END = 0x20, 0x0A
+END_BEFORE = b"\n" * 5
 #: Bytes of text whose decisions are made at once.
-RUN_BYTES = 1 << 19
+RUN_BYTES = 1 << 18
 #: Decisions after which a document's refinement learns.
 STEP = 1024
 GATES = 64
-#: Documents that the mixing weights are fitted on at most; all counts are over all documents.
+#: Different texts, of the least hashes and below 64 KB, that the few hundred mixing weights are fitted on at
+#: most; all counts are over all documents.
 WEIGHT_ROWS = 400
+WEIGHT_BYTES = 1 << 17
 #: Of the most frequent tokens, so many are looked up in memory; all others in a join.
 FREQUENT = 1 << 17
 CHUNK = 1 << 15
@@ -87,6 +90,17 @@ class Trees:
         return out
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint32)] * 2
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**32, kept for the next call."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((0x01000193, pow(0x01000193, -1, 1 << 32))):
+            _POWERS[k] = np.cumprod(np.full(n, x, np.uint32), dtype=np.uint32)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 @dataclass
 class Decisions:
     slots: list[np.ndarray]
@@ -99,26 +113,21 @@ def decisions(items: list[bytes], trees: Trees) -> Decisions:
     """All decisions of coded texts, with the slot of each predictor for each."""
     size = np.array([len(b) for b in items], np.int64)
     start = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(items), np.uint8)
-    n = len(data)
-    # contexts of the bytes before, as if each text came after ends only
-    before = np.concatenate([[END], data[:-1]]).astype(np.uint32)
-    before[start] = END
-    place = np.arange(n, dtype=np.int64) - np.repeat(start, size)
-    wide = before.copy()
-    two = wide + (np.where(place >= 2, np.concatenate([[END] * 2, data[:-2]])[:n], END).astype(np.uint32) << np.uint32(8))
-    three = two + (np.where(place >= 3, np.concatenate([[END] * 3, data[:-3]])[:n], END).astype(np.uint32) << np.uint32(16))
-    four = three + (np.where(place >= 4, np.concatenate([[END] * 4, data[:-4]])[:n], END).astype(np.uint32) << np.uint32(24))
-    fifth = np.where(place >= 5, np.concatenate([[END] * 5, data[:-5]])[:n], END).astype(np.uint32)
+    # five ends stand before each text: the bytes before a place are then read as they lie
+    whole = END_BEFORE + END_BEFORE.join([*items, b""])
+    n = int(size.sum())
+    real = np.arange(n) + np.repeat(len(END_BEFORE) * np.arange(1, len(items) + 1), size)
+    data = np.frombuffer(whole, np.uint8)[real]
+    four = np.ndarray((len(whole) - 4,), np.uint32, whole, 0, (1,))[real - 4]
+    three = four >> np.uint32(8)
+    before = four >> np.uint32(24)
+    fifth = np.frombuffer(whole, np.uint8)[real - 5].astype(np.uint32)
     m = np.uint32(0x9E3779B1)
     # the word so far: prefix sums that start anew at each word
     ends = (data == SPACE) | (data == END)
     after = np.concatenate([[True], ends[:-1]])
     word_start = np.maximum.accumulate(np.where(after, np.arange(n), 0))
-    odd = np.uint32(0x01000193)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.full(n + 1, odd, np.uint32), dtype=np.uint32)
-        down = np.cumprod(np.full(n + 1, pow(0x01000193, -1, 1 << 32), np.uint32), dtype=np.uint32)
+    up, down = _powers(n + 1)
     sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data.astype(np.uint32) + 1) * up[:n], dtype=np.uint32)])
     so_far = (sums[:n] - sums[word_start]) * down[word_start]
     so_far ^= so_far >> np.uint32(15)
@@ -139,23 +148,18 @@ def decisions(items: list[bytes], trees: Trees) -> Decisions:
     length = trees.length[code]
     total = int(length.sum())
     ends_at = np.cumsum(length)
-    rep = np.repeat(np.arange(n, dtype=np.int32), length)
-    within = np.arange(total, dtype=np.int64) - np.repeat(ends_at - length, length)
-    k = np.repeat(trees.first[code], length) + within
+    k = np.repeat(trees.first[code] - (ends_at - length), length) + np.arange(total)
     node, bit = trees.node[k] * np.uint32(0x85EBCA6B), trees.bit[k]
     slots = []
     for h, bits in zip(hashes, TABLE_BITS, strict=True):
-        x = h[rep] + node
+        x = np.repeat(h, length)
+        x += node
         x *= np.uint32(0xC2B2AE3D)
-        slots.append(x >> np.uint32(32 - bits))
+        x >>= np.uint32(32 - bits)
+        slots.append(x.astype(np.intp))
     return Decisions(slots, bit, np.concatenate([[0], np.cumsum(np.add.reduceat(length, start))]) if len(items) else np.zeros(1, np.int64))
 
 
-def counted(d: Decisions) -> list[np.ndarray]:
-    """Per predictor the counts of zeros (even places) and ones (odd places) of its slots."""
-    return [np.bincount(s.astype(np.int64) * 2 + d.bit, minlength=2 << bits) for s, bits in zip(d.slots, TABLE_BITS, strict=True)]
-
-
 def log_odds(counts: np.ndarray) -> np.ndarray:
     """ln((ones + 0.3) / (zeros + 0.3)): near zero where little was seen."""
     both = counts.reshape(-1, 2).astype(np.float32)
@@ -198,6 +202,7 @@ class Model:
         d = decisions(items, self.trees)
         z = self.mixed(d)
         sign = d.bit.astype(np.float32) * 2 - 1
+        z *= sign  # from here on, towards what did follow
         size = np.diff(d.first)
         out = np.zeros(len(items))
         scale, shift = np.ones(len(items)), np.zeros(len(items))
@@ -214,13 +219,16 @@ class Model:
             begin = np.cumsum(n) - n
             at = np.arange(int(n.sum())) + np.repeat(d.first[now] + step * STEP - begin, n)
             zz, s = z[at], sign[at]
-            full = (zz * np.repeat(scale[now], n).astype(np.float32) + np.repeat(shift[now], n).astype(np.float32)) * s
-            np.clip(full, -30, 30, out=full)
-            small = np.exp(-full)
-            out[now] += np.add.reduceat(np.log1p(small).astype(np.float64), begin)
-            miss = small / (1 + small) * s
-            scale[now] = np.clip(scale[now] + 0.02 * np.add.reduceat(miss * zz, begin) / np.sqrt(n), 0.25, 2)
-            shift[now] = np.clip(shift[now] + 0.02 * np.add.reduceat(miss, begin) / np.sqrt(n), -1, 1)
+            small = np.repeat(-scale[now].astype(np.float32), n)
+            small *= zz
+            small -= np.repeat(shift[now].astype(np.float32), n) * s
+            np.minimum(small, np.float32(60), out=small)
+            np.exp(small, out=small)
+            out[now] += np.add.reduceat(np.log1p(small), begin, dtype=np.float64)
+            small /= small + np.float32(1)
+            scale[now] = np.clip(scale[now] + 0.02 * np.add.reduceat(small * zz, begin) / np.sqrt(n), 0.25, 2)
+            small *= s
+            shift[now] = np.clip(shift[now] + 0.02 * np.add.reduceat(small, begin) / np.sqrt(n), -1, 1)
             step += 1
         return out / np.log(2)
 
@@ -231,21 +239,29 @@ def fit_weights(model: Model, items: list[bytes], counts: list[np.ndarray], roun
     weights[:, -1] = 0
     if not items:
         return weights
-    d = decisions(items, model.trees)
-    inputs, sure = [], []
-    for s, all_counts, own in zip(d.slots, counts, counted(d), strict=True):
-        rest = np.maximum(all_counts.astype(np.int64) - own, 0)
-        inputs.append(np.clip(np.rint(log_odds(rest)[s] * 10), -127, 127).astype(np.float32) * np.float32(0.1))
-        sure.append(seen(rest)[s])
-    gate = sure[-2].astype(np.int64) * 8 + sure[-1]
-    x = np.stack([*inputs, np.ones(len(d.bit), np.float32)], axis=1)
-    y = d.bit.astype(np.float32)
+    own = [np.zeros(len(c), np.int32) for c in counts]
+    for a, b in runs(items, WEIGHT_BYTES):
+        d = decisions(items[a:b], model.trees)
+        for h, s in zip(own, d.slots, strict=True):
+            np.add.at(h, s * 2 + d.bit, 1)
+    odds, sure = [], []
+    for k, (every, mine) in enumerate(zip(counts, own, strict=True)):
+        rest = np.maximum(every.astype(np.int32) - mine, 0)
+        odds.append(np.clip(np.rint(log_odds(rest) * 10), -127, 127).astype(np.int8))
+        if k >= len(counts) - 2:
+            sure.append(seen(rest))
+    del own
     for k in range(rounds):
-        for at in range(0, len(y), 512):
-            xs, g = x[at : at + 512], gate[at : at + 512]
-            z = np.clip((xs * weights[g]).sum(axis=1), -30, 30)
-            miss = y[at : at + 512] - 1 / (1 + np.exp(-z))
-            np.add.at(weights, g, rate / (k + 1) * miss[:, None] * xs)
+        for a, b in runs(items, WEIGHT_BYTES):
+            d = decisions(items[a:b], model.trees)
+            gate = sure[0][d.slots[-2]].astype(np.int64) * 8 + sure[1][d.slots[-1]]
+            x = np.stack([*[o[s] * np.float32(0.1) for o, s in zip(odds, d.slots, strict=True)], np.ones(len(d.bit), np.float32)], axis=1)
+            y = d.bit.astype(np.float32)
+            for at in range(0, len(y), 512):
+                xs, g = x[at : at + 512], gate[at : at + 512]
+                z = np.clip((xs * weights[g]).sum(axis=1), -30, 30)
+                miss = y[at : at + 512] - 1 / (1 + np.exp(-z))
+                np.add.at(weights, g, rate / (k + 1) * miss[:, None] * xs)
     return weights
 
 
@@ -262,7 +278,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.clear()
         return pa.RecordBatch.from_pydict({"token": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
 
-    for batch in batches:
+    for batch in slices(batches):
         items = _fold(batch, texts(batch["text"]))
         for t in items:
             tokens.update(t.lower().split())
@@ -270,7 +286,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in runs(items, 1 << 22):
             data = np.frombuffer(b"\n" + b"".join(coded(t) for t in items[a:b]), np.uint8).astype(np.int64)
             pairs += np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16)
-        if len(tokens) > 400_000:
+        if len(tokens) > 150_000:
             yield flush()
     yield flush()
     # the pairs go the same way, under keys that no token has: a space and two bytes
@@ -280,12 +296,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatch]:
     held = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
-    for batch in batches:
+    for batch in slices(batches):
         items = [coded(t) for t in _fold(batch, texts(batch["text"]))]
-        for a, b in runs(items, RUN_BYTES * 8):
+        for a, b in runs(items, RUN_BYTES):
             d = decisions(items[a:b], trees.value)
-            for h, c in zip(held, counted(d), strict=True):
-                h += c.astype(np.uint32)
+            for h, s in zip(held, d.slots, strict=True):
+                np.add.at(h, s * 2 + d.bit, np.uint32(1))
     for k, h in enumerate(held):
         for at in range(0, len(h), CHUNK):
             part = h[at : at + CHUNK]
@@ -311,7 +327,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
     learned, known = model.value, frequent.value
-    for batch in batches:
+    for batch in slices(batches):
         raw = texts(batch["text"])
         bits = np.zeros(len(raw))
         items = [coded(t) for t in raw]
@@ -365,7 +381,8 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
     tokens = counts.where(~is_pair & (F.col("n") > 0))
     train_tokens, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = tokens.orderBy(F.desc("n"), "token").limit(FREQUENT)
-    frequent = {bytes(r[0]): float(np.log10(r[1] + 1)) for r in top.collect()}
+    listed = top.select("token", "n").toArrow()
+    frequent = dict(zip(listed["token"].to_pylist(), np.log10(listed["n"].to_numpy() + 1.0).tolist(), strict=True))
     trees = Trees(pairs)
     sent = sc.broadcast(trees)
     parts = rows.where("learn").select("text", "learn").mapInArrow(partial(_counts, trees=sent), "chunk int, shift int, slots binary, counts binary")
@@ -376,8 +393,8 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
         k, at = divmod(chunk, 4096)
         found[k][at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(got, "<u2")
     model = Model(trees, [np.clip(np.rint(log_odds(c) * 10), -127, 127).astype(np.int8) for c in found], [seen(c) for c in found[-2:]], np.empty(0))
-    sample = rows.where("learn AND text IS NOT NULL").select("text", F.xxhash64("doc_id", F.lit(3)).alias("h")).where(F.octet_length("text") < 1 << 16).orderBy("h", "text").limit(WEIGHT_ROWS)
-    model.weights = fit_weights(model, [coded(r[0].encode()) for r in sample.select("text").collect()], found)
+    sample = sample_texts(rows.where(F.col("learn") & (F.octet_length("text") < 1 << 16)), "text", WEIGHT_ROWS)
+    model.weights = fit_weights(model, [coded(t.encode()) for t in sample], found)
     ids = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "learn")
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = ids.mapInArrow(partial(_score, model=sc.broadcast(model), frequent=sc.broadcast(frequent)), f"row long, doc_id {kind}, n_tokens long, hits long, sums double, bits double, n_bytes long, rare array<binary>, times array<long>")
