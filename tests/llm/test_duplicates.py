@@ -221,3 +221,28 @@ def test_passages(spark):
     assert (one["start_word"], one["end_word"], one["other_start"], one["other_end"], one["similarity"]) == (100, 179, 30, 109, 1.0)
     assert {r["class_id"] for r in got if r["doc_id"] <= 3} == {1} and {r["class_id"] for r in got if r["doc_id"] in (4, 8)} == {4}
     assert passages.near_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@given(st.integers(0, 10**6), st.integers(1, 4), st.integers(1, 4))
+@settings(max_examples=60, deadline=None)
+def test_regions_of_a_passage_at_several_places(seed, here, there):
+    rng = np.random.default_rng(seed)
+    rectangles = []
+    for key in range(6):
+        for i in range(here):
+            for j in range(there):
+                l, r = (int(k) for k in rng.integers(0, 5, 2))
+                rectangles.append((1000 * i + l, 1000 * i + 60 - r, 1000 * j + l, 1000 * j + 60 - r, key))
+    assert len(passages.regions(rectangles, 46, 3)) == here * there
+
+
+def test_passage_twice_in_a_text(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(5000)]
+    say = lambda n: list(rng.choice(words, n))
+    shared = say(80)
+    for places in ((1, 2), (2, 1), (2, 2)):
+        docs = [(k, " ".join(sum((say(90) + shared for _ in range(n)), []) + say(70))) for k, n in enumerate(places)]
+        got = passages.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        for k, n in enumerate(places):
+            assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == k} == {(90 + 170 * m, 169 + 170 * m) for m in range(n)}
