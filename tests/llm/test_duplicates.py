@@ -246,3 +246,17 @@ def test_passage_twice_in_a_text(spark):
         got = passages.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
         for k, n in enumerate(places):
             assert {(r["start_word"], r["end_word"]) for r in got if r["doc_id"] == k} == {(90 + 170 * m, 169 + 170 * m) for m in range(n)}
+
+
+def test_passages_among_many_of_common_wording(spark):
+    """Sixty texts hold one run of 44 words, too short for a passage; pairs of them share 16 words more."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(20000)]
+    say = lambda n: list(rng.choice(words, n))
+    common, docs = say(44), []
+    for k in range(30):
+        shared = say(8) + common + say(8)
+        docs += [(2 * k, " ".join(say(60) + shared + say(60))), (2 * k + 1, " ".join(say(60) + shared + say(60)))]
+    got = passages.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(k, k ^ 1) for k in range(60)}
+    assert all(r["class_id"] == r["doc_id"] & ~1 and (r["start_word"], r["end_word"]) == (60, 119) for r in got)
