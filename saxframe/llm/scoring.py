@@ -1,10 +1,17 @@
-"""LM scoring: online logistic mixing of hashed-context bit predictors, and a unigram base beside it.
+"""LM scoring: online logistic mixing of hashed-context bit predictors and, beside it, of whole tokens.
 
 A text is its tokens: words with A-Z lower-cased, each followed by a space, and one end. The bytes of
-that form are coded by binary decisions along a tree that depends on the byte before (the trees are
+that form are coded by binary decisions along a tree that depends on the two bytes before (the trees are
 Huffman's for the corpus, so that a byte takes about three decisions). For every decision, predictors
-look up counts of zeros and ones under hashes of different contexts; their log odds are combined by a
-weight vector that a gate chooses, and the result is refined as a document goes on.
+look up the log odds of a one under hashes of different contexts; they are added up with weights that a
+gate chooses, and the weights of each gate go down the gradient of what the decisions cost as the
+document goes on. They begin at one value in every document: nothing is fitted beforehand, so a score
+depends on the corpus counts and on the text alone.
+
+The probability of a token is a mixture: a share of it is the token's share of all training tokens
+(exact counts, a table that grows with the corpus and is joined), the rest is the product of its
+decisions. Both add up to one over all tokens at most, so the score is that of a code. The share is
+refined within a document, by how much of the tokens before the counts explain.
 """
 
 from __future__ import annotations
@@ -20,56 +27,120 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saxframe.llm.common import fold_of, runs, sample_texts, slices, stage, table, texts
+from saxframe.llm.common import fold_of, runs, slices, stage, table, texts
 
-#: Slots of each predictor's table, as powers of two: order 3, the word so far after the last short
-#: word (short words tell languages apart), order 5, and the word so far.
-TABLE_BITS = (20, 21, 21, 21)
+#: Predictors: order 3, order 5, the word so far after the last short word (short words tell languages apart).
+PREDICTORS = 3
+#: The slots of each predictor's table, as a power of two: one for each byte of training text, within
+#: bounds that keep what every executor holds below 40 MB.
+BYTES_A_SLOT = 1
+LEAST_BITS, MOST_BITS = 12, 22
 #: Bytes of a short word at most.
 SHORT = 4
 SPACE, END = 0x20, 0x0A
-END_BEFORE = b"\n" * 5
-#: Bytes of text whose decisions are made at once.
-RUN_BYTES = 1 << 18
-#: Decisions after which a document's refinement learns.
-STEP = 1024
-GATES = 64
-#: Different texts, of the least hashes and below 64 KB, that the few hundred mixing weights are fitted on at
-#: most; all counts are over all documents.
-WEIGHT_ROWS = 400
-WEIGHT_BYTES = 1 << 17
+CONTEXT = 5
+NOTHING = b"\n" * CONTEXT
+#: Bytes and texts whose decisions are made at once.
+RUN_BYTES, RUN_TEXTS = 1 << 17, 4000
+#: Decisions of a document after which its weights learn; a step is longer where it is less than a share of what came before.
+STEP, LATER = 1024, 8
+#: The share of the longest safe step that weights take, and the curvature that they start against.
+RATE, STIFF = 1.0, 10.0
+#: What the weights begin at.
+START = 0.3
+#: A gate is how far apart the odds of the two longest contexts are, in tenths of a unit of log odds.
+LEVELS = (5, 15, 30)
+GATES = (len(LEVELS) + 1) ** 2
+#: The share of the token counts in a token's probability at first, what it weighs in tokens, and the tokens of a step.
+SHARE, TRUST, TOKENS = 1 / 8, 16, 32
 #: Of the most frequent tokens, so many are looked up in memory; all others in a join.
 FREQUENT = 1 << 17
 CHUNK = 1 << 15
+#: Groups of a byte, for the trees: its low bits.
+GROUPS = 16
+_POWER, _INVERSE = 0x01000193, pow(0x01000193, -1, 1 << 32)
+_EDGES = np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(np.int64))
+_LEVEL = np.searchsorted(np.array(LEVELS), _EDGES, side="right").astype(np.uint8)
 
 
-def coded(text: bytes) -> bytes:
+def coded(words: list[bytes]) -> bytes:
     """The form that is scored: lower-cased words, a space after each, and the end."""
-    words = text.lower().split()
     return b" ".join([*words, b""]) + b"\n"
 
 
+@dataclass
+class Part:
+    """A stretch of whole tokens of a coded text, the bytes before it and the last short word before it."""
+
+    body: bytes
+    before: bytes = NOTHING
+    hint: int = 0
+
+
+def parts_of(text: bytes, most: int | None = None) -> list[Part]:
+    """A coded text in stretches of about so many bytes that end with a token."""
+    most = most or RUN_BYTES
+    if len(text) <= most:
+        return [Part(text)]
+    out, at, hint = [], 0, 0
+    while at < len(text):
+        end = text.rfind(b" ", at, at + most) + 1 if at + most < len(text) else len(text)
+        if not end:
+            end = text.find(b" ", at) + 1 or len(text)
+        out.append(Part(text[at:end], (NOTHING + text[max(0, at - CONTEXT) : at])[-CONTEXT:], hint))
+        to = end - 1
+        while to > at:
+            start = text.rfind(b" ", at, to) + 1 or at
+            if to - start <= SHORT:
+                hint = sum((b + 1) * pow(_POWER, k, 1 << 32) for k, b in enumerate(text[start : to + 1])) % (1 << 32)
+                break
+            to = start - 1
+        at = end
+    return out
+
+
+def text_runs(items: list[bytes]) -> Iterator[tuple[int, int]]:
+    """[from, to) of consecutive texts of RUN_BYTES and RUN_TEXTS at most, or of one longer text."""
+    for a, b in runs(items, RUN_BYTES):
+        for c in range(a, b, RUN_TEXTS):
+            yield c, min(b, c + RUN_TEXTS)
+
+
 class Trees:
-    """For each byte before, the decisions (node, bit) that lead to each byte: Huffman's tree over counts + 1/64."""
-
-    def __init__(self, pairs: np.ndarray) -> None:
-        node, bit, self.length = [], [], np.zeros(1 << 16, np.int32)
-        self.first = np.zeros(1 << 16, np.int64)
-        same: dict[bytes, list] = {}
-        for p in range(256):
-            row = pairs[p * 256 : p * 256 + 256].astype(np.int64) * 64 + 1
-            key = row.tobytes()
-            if key not in same:
-                same[key] = self._codes(row.tolist())
-            for s, path in enumerate(same[key]):
-                k = p * 256 + s
-                self.first[k], self.length[k] = len(node), len(path)
-                node += [n for n, _ in path]
-                bit += [b for _, b in path]
-        self.node, self.bit = np.array(node, np.uint32), np.array(bit, np.uint8)
+    """For the bytes before, the decisions (node, bit) that lead to each byte: Huffman's tree over counts + 1/64.
+
+    A tree is that of the byte before and a group of the one before that. node is a hash of the tree
+    and the node; its lowest bit is the decision.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        node, self.length = [], np.zeros(GROUPS << 16, np.uint8)
+        self.first = np.zeros(GROUPS << 16, np.int32)
+        at = 0
+        for tree in range(-1, GROUPS << 8):
+            own = slice(tree * 256, tree * 256 + 256)
+            if tree >= 0 and not counts[own].any():
+                # one tree, the first, for all that were never seen
+                self.first[own], self.length[own] = none_first, none_length
+                continue
+            paths = self._codes((counts[own].astype(np.int64) * 64 + 1).tolist() if tree >= 0 else [1] * 256)
+            length = np.array([len(p) for p in paths])
+            begin = at + np.cumsum(length) - length
+            at += int(length.sum())
+            if tree < 0:
+                none_first, none_length = begin, length
+            else:
+                self.first[own], self.length[own] = begin, length
+            flat = np.concatenate(paths)
+            x = (flat >> 1).astype(np.uint32) + np.uint32((tree + 1) << 8)
+            x = (x ^ x >> np.uint32(7)) * np.uint32(0x85EBCA6B)
+            x = (x ^ x >> np.uint32(15)) * np.uint32(0xC2B2AE3D)
+            node.append((x ^ x >> np.uint32(16)) & ~np.uint32(1) | (flat & 1).astype(np.uint32))
+        self.node = np.concatenate(node)
 
     @staticmethod
-    def _codes(weights: list[int]) -> list[list[tuple[int, int]]]:
+    def _codes(weights: list[int]) -> list[np.ndarray]:
+        """2 * node + bit along the way to each symbol."""
         heap = [(w, s, s) for s, w in enumerate(weights)]
         heapq.heapify(heap)
         up: dict[int, tuple[int, int]] = {}
@@ -84,9 +155,9 @@ class Trees:
             path, at = [], s
             while at in up:
                 parent, b = up[at]
-                path.append((parent - 255, b))
+                path.append(2 * (parent - 255) + b)
                 at = parent
-            out.append(path[::-1])
+            out.append(np.array(path[::-1], np.int64))
         return out
 
 
@@ -96,8 +167,8 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint32)] * 2
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**32, kept for the next call."""
     if len(_POWERS[0]) < n:
-        for k, x in enumerate((0x01000193, pow(0x01000193, -1, 1 << 32))):
-            _POWERS[k] = np.cumprod(np.full(n, x, np.uint32), dtype=np.uint32)
+        for k, x in enumerate((_POWER, _INVERSE)):
+            _POWERS[k] = np.cumprod(np.concatenate([np.ones(1, np.uint32), np.full(2 * n, x, np.uint32)]), dtype=np.uint32)
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
@@ -105,173 +176,163 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Decisions:
     slots: list[np.ndarray]
     bit: np.ndarray
-    #: where each item's decisions begin, and one more at the end
+    #: where each part's decisions begin, and one more at the end
     first: np.ndarray
+    #: where each token's decisions begin
+    token: np.ndarray
+    #: tokens of each part
+    tokens: np.ndarray
 
 
-def decisions(items: list[bytes], trees: Trees) -> Decisions:
-    """All decisions of coded texts, with the slot of each predictor for each."""
-    size = np.array([len(b) for b in items], np.int64)
+def decisions(parts: list[Part], trees: Trees, bits: int) -> Decisions:
+    """All decisions of the parts, with the slot of each predictor for each."""
+    size = np.array([len(p.body) for p in parts], np.int64)
     start = np.cumsum(size) - size
-    # five ends stand before each text: the bytes before a place are then read as they lie
-    whole = END_BEFORE + END_BEFORE.join([*items, b""])
+    whole = b"".join([x for p in parts for x in (p.before, p.body)])
     n = int(size.sum())
-    real = np.arange(n) + np.repeat(len(END_BEFORE) * np.arange(1, len(items) + 1), size)
-    data = np.frombuffer(whole, np.uint8)[real]
+    real = np.arange(n) + np.repeat(CONTEXT * np.arange(1, len(parts) + 1), size)
+    raw = np.frombuffer(whole, np.uint8)
+    data = raw[real]
     four = np.ndarray((len(whole) - 4,), np.uint32, whole, 0, (1,))[real - 4]
-    three = four >> np.uint32(8)
-    before = four >> np.uint32(24)
-    fifth = np.frombuffer(whole, np.uint8)[real - 5].astype(np.uint32)
-    m = np.uint32(0x9E3779B1)
+    fifth = raw[real - 5].astype(np.uint32)
     # the word so far: prefix sums that start anew at each word
     ends = (data == SPACE) | (data == END)
     after = np.concatenate([[True], ends[:-1]])
-    word_start = np.maximum.accumulate(np.where(after, np.arange(n), 0))
-    up, down = _powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data.astype(np.uint32) + 1) * up[:n], dtype=np.uint32)])
-    so_far = (sums[:n] - sums[word_start]) * down[word_start]
-    so_far ^= so_far >> np.uint32(15)
     starts = np.flatnonzero(after)
     next_start = np.append(starts[1:], n)
-    whole = (sums[next_start] - sums[starts]) * down[starts]
+    up, down = _powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data.astype(np.uint32) + np.uint32(1)) * up[:n], dtype=np.uint32)])
+    each = next_start - starts
+    so_far = (sums[:n] - np.repeat(sums[starts], each)) * np.repeat(down[starts], each)
+    words = (sums[next_start] - sums[starts]) * down[starts]
     # the last short word before each word of the same text, or none
-    rank = np.arange(len(starts))
-    short = np.where((next_start - starts <= SHORT + 1), rank, -1)
+    part_word = np.searchsorted(starts, start)
+    short = np.where(each <= SHORT + 1, np.arange(len(starts)), -1)
     recent = np.maximum.accumulate(np.concatenate([[-1], short[:-1]]))
-    first_word = np.repeat(np.searchsorted(starts, start), np.diff(np.append(np.searchsorted(starts, start), len(starts))))
-    hint = np.where(recent >= first_word, whole[np.maximum(recent, 0)], np.uint32(0))
-    hinted = np.repeat(hint ^ (hint >> np.uint32(16)), next_start - starts)
-    hashes = [three * m, (four ^ (fifth * np.uint32(0x85EBCA77))) * m, (so_far + np.uint32(77)) * m]
-    hashes.insert(1, (so_far + hinted * np.uint32(0xC2B2AE35) + np.uint32(5)) * m)
+    tokens = np.diff(np.append(part_word, len(starts)))
+    given = np.repeat(np.array([p.hint for p in parts], np.uint32), tokens)
+    hint = np.where(recent >= np.repeat(part_word, tokens), words[np.maximum(recent, 0)], given)
+    hinted = np.repeat(hint ^ (hint >> np.uint32(16)), each)
+    hashes = [four >> np.uint32(8), four ^ fifth * np.uint32(0x85EBCA77), so_far + hinted * np.uint32(0xC2B2AE35) + np.uint32(5)]
     # from bytes to decisions
-    code = before.astype(np.int64) * 256 + data
-    length = trees.length[code]
-    total = int(length.sum())
+    code = ((four >> np.uint32(24)) * np.uint32(GROUPS) + (four >> np.uint32(16) & np.uint32(GROUPS - 1))).astype(np.int64) * 256 + data
+    length = trees.length[code].astype(np.int64)
     ends_at = np.cumsum(length)
-    k = np.repeat(trees.first[code] - (ends_at - length), length) + np.arange(total)
-    node, bit = trees.node[k] * np.uint32(0x85EBCA6B), trees.bit[k]
+    total = int(ends_at[-1])
+    begins = ends_at - length
+    k = np.repeat(trees.first[code] - begins, length)
+    k += np.arange(total)
+    leaf = trees.node[k]
+    node = leaf & ~np.uint32(1)
     slots = []
-    for h, bits in zip(hashes, TABLE_BITS, strict=True):
+    for h in hashes:
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(13)
+        h *= np.uint32(0xC2B2AE3D)
         x = np.repeat(h, length)
         x += node
-        x *= np.uint32(0xC2B2AE3D)
         x >>= np.uint32(32 - bits)
         slots.append(x.astype(np.intp))
-    return Decisions(slots, bit, np.concatenate([[0], np.cumsum(np.add.reduceat(length, start))]) if len(items) else np.zeros(1, np.int64))
+    return Decisions(slots, (leaf & np.uint32(1)).astype(np.uint8), np.append(begins[start], total), begins[starts], tokens)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """ln((ones + 0.3) / (zeros + 0.3)): near zero where little was seen."""
+    """ln((ones + 0.3) / (zeros + 0.3)) of pairs of counts, in tenths: near zero where little was seen."""
     both = counts.reshape(-1, 2).astype(np.float32)
-    return np.log((both[:, 1] + np.float32(0.3)) / (both[:, 0] + np.float32(0.3)))
-
-
-def seen(counts: np.ndarray) -> np.ndarray:
-    """How often a slot was seen, in eight steps."""
-    n = counts.reshape(-1, 2).sum(axis=1, dtype=np.int64)
-    return np.minimum(7, np.log2(n + 1) * 0.9).astype(np.uint8)
+    return np.clip(np.rint(10 * np.log((both[:, 1] + np.float32(0.3)) / (both[:, 0] + np.float32(0.3)))), -127, 127).astype(np.int8)
 
 
 @dataclass
 class Model:
     trees: Trees
-    #: log odds of the slots, in steps of 1/10
+    bits: int
+    #: log odds of the slots of each predictor
     odds: list[np.ndarray]
-    #: of the last two predictors (order 5, the word so far), how often each slot was seen
-    seen: list[np.ndarray]
-    #: weights[gate, predictor] and, last, a bias
-    weights: np.ndarray
-
-    def mixed(self, d: Decisions) -> np.ndarray:
-        """The weighted sums of the log odds. The gate is how often the two longest contexts were seen."""
-        gate = self.seen[0][d.slots[-2]] * np.uint8(8) + self.seen[1][d.slots[-1]]
-        z = self.weights[:, -1].astype(np.float32)[gate]
-        for k, s in enumerate(d.slots):
-            part = (self.weights[:, k] * 0.1).astype(np.float32)[gate]
-            part *= self.odds[k][s]
-            z += part
-        return z
-
-    def bits(self, items: list[bytes]) -> np.ndarray:
-        """Total bits of each coded text: minus the sum of log2 of the probabilities of its decisions.
-
-        The mixed log odds z become a z + b, where a and b are the document's own: they start at 1 and
-        0 and after each STEP decisions go down the gradient of what those cost. So a text's score
-        depends on the corpus counts and on the text alone, not on what is scored beside it.
+
+    def costs(self, parts: list[Part], weights: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """What each token of the parts costs in nats, the tokens of each part, and the weights at the end.
+
+        Parts are of different documents, each with its own weights: given ones, or those that all
+        documents begin with. The decisions of a step are coded by the weights before it, which then go
+        down the gradient, by a step that the curvature met so far bounds: it can't overshoot.
         """
-        d = decisions(items, self.trees)
-        z = self.mixed(d)
-        sign = d.bit.astype(np.float32) * 2 - 1
-        z *= sign  # from here on, towards what did follow
+        d = decisions(parts, self.trees, self.bits)
+        odds = [o.take(s, mode="wrap") for o, s in zip(self.odds, d.slots, strict=True)]
+        gate = _LEVEL[odds[1].view(np.uint8)] * np.uint8(len(LEVELS) + 1) + _LEVEL[odds[2].view(np.uint8)]
         size = np.diff(d.first)
-        out = np.zeros(len(items))
-        scale, shift = np.ones(len(items)), np.zeros(len(items))
-        # decisions of the same step of all documents are taken together; documents are in order of length
         order = np.argsort(-size, kind="stable")
-        alive, step = len(order), 0
+        if weights is None:
+            weights = [np.full(len(parts) * GATES, START if k < PREDICTORS else 0, np.float32) for k in range(PREDICTORS + 1)]
+            weights.append(np.full(len(parts) * GATES, STIFF, np.float32))
+        cost = np.empty(len(d.bit), np.float32)
+        alive, done = len(order), 0
         while True:
-            while alive and size[order[alive - 1]] <= step * STEP:
+            while alive and size[order[alive - 1]] <= done:
                 alive -= 1
             if not alive:
                 break
             now = order[:alive]
-            n = np.minimum(size[now] - step * STEP, STEP)
-            begin = np.cumsum(n) - n
-            at = np.arange(int(n.sum())) + np.repeat(d.first[now] + step * STEP - begin, n)
-            zz, s = z[at], sign[at]
-            small = np.repeat(-scale[now].astype(np.float32), n)
-            small *= zz
-            small -= np.repeat(shift[now].astype(np.float32), n) * s
-            np.minimum(small, np.float32(60), out=small)
-            np.exp(small, out=small)
-            out[now] += np.add.reduceat(np.log1p(small), begin, dtype=np.float64)
-            small /= small + np.float32(1)
-            scale[now] = np.clip(scale[now] + 0.02 * np.add.reduceat(small * zz, begin) / np.sqrt(n), 0.25, 2)
-            small *= s
-            shift[now] = np.clip(shift[now] + 0.02 * np.add.reduceat(small, begin) / np.sqrt(n), -1, 1)
-            step += 1
-        return out / np.log(2)
-
-
-def fit_weights(model: Model, items: list[bytes], counts: list[np.ndarray], rounds: int = 3, rate: float = 0.004) -> np.ndarray:
-    """Gated mixing weights, learned online over sample documents whose own counts are taken out of the tables first."""
-    weights = np.full((GATES, len(TABLE_BITS) + 1), 0.3)
-    weights[:, -1] = 0
-    if not items:
-        return weights
-    own = [np.zeros(len(c), np.int32) for c in counts]
-    for a, b in runs(items, WEIGHT_BYTES):
-        d = decisions(items[a:b], model.trees)
-        for h, s in zip(own, d.slots, strict=True):
-            np.add.at(h, s * 2 + d.bit, 1)
-    odds, sure = [], []
-    for k, (every, mine) in enumerate(zip(counts, own, strict=True)):
-        rest = np.maximum(every.astype(np.int32) - mine, 0)
-        odds.append(np.clip(np.rint(log_odds(rest) * 10), -127, 127).astype(np.int8))
-        if k >= len(counts) - 2:
-            sure.append(seen(rest))
-    del own
-    for k in range(rounds):
-        for a, b in runs(items, WEIGHT_BYTES):
-            d = decisions(items[a:b], model.trees)
-            gate = sure[0][d.slots[-2]].astype(np.int64) * 8 + sure[1][d.slots[-1]]
-            x = np.stack([*[o[s] * np.float32(0.1) for o, s in zip(odds, d.slots, strict=True)], np.ones(len(d.bit), np.float32)], axis=1)
-            y = d.bit.astype(np.float32)
-            for at in range(0, len(y), 512):
-                xs, g = x[at : at + 512], gate[at : at + 512]
-                z = np.clip((xs * weights[g]).sum(axis=1), -30, 30)
-                miss = y[at : at + 512] - 1 / (1 + np.exp(-z))
-                np.add.at(weights, g, rate / (k + 1) * miss[:, None] * xs)
-    return weights
+            step = max(STEP, done // LATER)
+            n = np.minimum(size[now] - done, step)
+            at = np.arange(int(n.sum()))
+            at += np.repeat(d.first[now] + done - (np.cumsum(n) - n), n)
+            key = np.repeat(np.arange(alive) * GATES, n)
+            key += gate[at]
+            # in order of document and gate: each group's weights stand together
+            each = np.bincount(key, minlength=alive * GATES)
+            at = at[np.argsort(key.astype(np.uint16) if len(each) <= 1 << 16 else key, kind="stable")]
+            group = np.flatnonzero(each)
+            each = each[group]
+            begin = np.cumsum(each) - each
+            z = np.repeat(weights[PREDICTORS][group], each)
+            xs, square = [], np.ones(len(at), np.float32)
+            for o, w in zip(odds, weights, strict=False):
+                x = o[at].astype(np.float32)
+                x *= np.float32(0.1)
+                xs.append(x)
+                z += np.repeat(w[group], each) * x
+                square += x * x
+            np.clip(z, -20, 20, out=z)
+            sign = d.bit[at].astype(np.float32)
+            sign *= 2
+            sign -= 1
+            z *= -sign
+            np.exp(z, out=z)
+            cost[at] = np.log1p(z)
+            z /= z + np.float32(1)
+            square *= z - z * z
+            stiff = weights[PREDICTORS + 1]
+            stiff[group] += np.add.reduceat(square, begin)
+            z *= sign  # the decision less its probability
+            rate = np.float32(RATE) / stiff[group]
+            for x, w in zip(xs, weights, strict=False):
+                x *= z
+                w[group] += rate * np.add.reduceat(x, begin)
+            weights[PREDICTORS][group] += rate * np.add.reduceat(z, begin)
+            done += step
+        return np.add.reduceat(cost, d.token, dtype=np.float64), d.tokens, weights
+
+    def token_costs(self, items: list[bytes]) -> np.ndarray:
+        """What each token of whole coded texts costs in nats, one text after another."""
+        out = []
+        for a, b in text_runs(items):
+            if b - a > 1 or len(items[a]) <= RUN_BYTES:
+                out.append(self.costs([Part(t) for t in items[a:b]])[0])
+                continue
+            weights = None
+            for part in parts_of(items[a]):
+                found, _, weights = self.costs([part], weights)
+                out.append(found)
+        return np.concatenate(out) if out else np.empty(0)
 
 
 def _fold(batch: pa.RecordBatch, items: list[bytes]) -> list[bytes]:
     return [t for t, learn in zip(items, batch["learn"].to_pylist(), strict=True) if learn]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (byte before, byte) and of tokens, of the documents to learn from."""
-    pairs, tokens = np.zeros(1 << 16, np.int64), Counter()
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tokens and, for the trees, of bytes after two bytes, of the documents to learn from."""
+    after, tokens = np.zeros(GROUPS << 16, np.int64), Counter()
 
     def flush() -> pa.RecordBatch:
         words, n = list(tokens.keys()), list(tokens.values())
@@ -280,28 +341,35 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in slices(batches):
         items = _fold(batch, texts(batch["text"]))
+        forms = []
         for t in items:
-            tokens.update(t.lower().split())
+            words = t.lower().split()
+            tokens.update(words)
+            forms.append(coded(words))
         tokens[b""] += len(items)
-        for a, b in runs(items, 1 << 22):
-            data = np.frombuffer(b"\n" + b"".join(coded(t) for t in items[a:b]), np.uint8).astype(np.int64)
-            pairs += np.bincount(data[:-1] * 256 + data[1:], minlength=1 << 16)
-        if len(tokens) > 150_000:
+        for a, b in runs(forms, 1 << 21):
+            data = np.frombuffer(NOTHING + NOTHING.join([*forms[a:b], b""]), np.uint8).astype(np.int32)
+            after += np.bincount((data[1:-1] * GROUPS + (data[:-2] & (GROUPS - 1))) * 256 + data[2:], minlength=GROUPS << 16)
+        if len(tokens) > 300_000:
             yield flush()
     yield flush()
-    # the pairs go the same way, under keys that no token has: a space and two bytes
-    some = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_pydict({"token": pa.array([b" %c%c" % divmod(int(k), 256) for k in some], pa.binary()), "n": pa.array(pairs[some])})
+    # these go the same way, under keys that no token has: a space and three bytes
+    some = np.flatnonzero(after)
+    yield pa.RecordBatch.from_pydict({"token": pa.array([b" " + int(k).to_bytes(3, "big") for k in some], pa.binary()), "n": pa.array(after[some])})
 
 
-def _counts(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatch]:
-    held = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
+def _counts(batches: Iterator[pa.RecordBatch], trees, bits: int) -> Iterator[pa.RecordBatch]:
+    """Each task's counts of zeros and ones, a chunk of a table a row: by slot where few are there, else all of them."""
+    held = [np.zeros(2 << bits, np.uint32) for _ in range(PREDICTORS)]
     for batch in slices(batches):
-        items = [coded(t) for t in _fold(batch, texts(batch["text"]))]
-        for a, b in runs(items, RUN_BYTES):
-            d = decisions(items[a:b], trees.value)
-            for h, s in zip(held, d.slots, strict=True):
-                np.add.at(h, s * 2 + d.bit, np.uint32(1))
+        items = [coded(t.lower().split()) for t in _fold(batch, texts(batch["text"]))]
+        for a, b in text_runs(items):
+            for some in [[p] for p in parts_of(items[a])] if b - a == 1 else [[Part(t) for t in items[a:b]]]:
+                d = decisions(some, trees.value, bits)
+                for h, s in zip(held, d.slots, strict=True):
+                    s += s
+                    s += d.bit
+                    np.add.at(h, s, np.uint32(1))
     for k, h in enumerate(held):
         for at in range(0, len(h), CHUNK):
             part = h[at : at + CHUNK]
@@ -309,50 +377,74 @@ def _counts(batches: Iterator[pa.RecordBatch], trees) -> Iterator[pa.RecordBatch
                 plane = (part >> np.uint32(shift)).astype(np.uint8)
                 some = np.flatnonzero(plane)
                 if len(some):
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([k * 4096 + at // CHUNK], pa.int32()), "shift": pa.array([shift], pa.int32()), "slots": pa.array([some.astype("<u2").tobytes()], pa.binary()), "counts": pa.array([plane[some].tobytes()], pa.binary())})
+                    sparse = 3 * len(some) < len(plane)
+                    slots, counts = (some.astype("<u2").tobytes(), plane[some].tobytes()) if sparse else (None, plane.tobytes())
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([k * 4096 + at // CHUNK], pa.int32()), "shift": pa.array([shift], pa.int32()), "slots": pa.array([slots], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chunks' sums: a task streams its rows into a table for each chunk that it was dealt."""
+    """The chunks' log odds: a task streams its rows into a table for each chunk that it was dealt."""
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, shift, slots, counts in zip(*(batch[c].to_pylist() for c in ("chunk", "shift", "slots", "counts")), strict=True):
-            held.setdefault(chunk, np.zeros(CHUNK, np.int64))[np.frombuffer(slots, "<u2")] += np.frombuffer(counts, np.uint8).astype(np.int64) << shift
+            at = slice(None) if slots is None else np.frombuffer(slots, "<u2")
+            got = np.frombuffer(counts, np.uint8).astype(np.int64) << shift
+            held.setdefault(chunk, np.zeros(max(CHUNK, 1), np.int64))[: len(got) if slots is None else None][at] += got
     for chunk, total in held.items():
-        # halved together until they fit 16 bits: the odds stay
-        both = total.reshape(-1, 2)
-        down = np.maximum(0, np.ceil(np.log2(np.maximum(1, both.max(axis=1)) / 65535))).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "counts": pa.array([(both >> down[:, None]).astype("<u2").tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int32()), "odds": pa.array([log_odds(total).tobytes()], pa.binary())})
+
 
+def mixture(value: np.ndarray, cost: np.ndarray, size: np.ndarray, log_all: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens of several texts, log p with those of value -1 taken as unknown, and ln(share / (1 - share)).
 
-def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
+    value is log10 of a token's count and one, cost its decisions' in nats, size the tokens of each text.
+    """
+    counted = np.where(value >= 0, (value - log_all) * np.log(10), -np.inf)
+    out, odds = np.empty(len(cost)), np.empty(len(cost))
+    share = np.full(len(size), SHARE * TRUST)
+    first = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    alive, done = len(order), 0
+    while True:
+        while alive and size[order[alive - 1]] <= done:
+            alive -= 1
+        if not alive:
+            return out, odds
+        now = order[:alive]
+        step = max(TOKENS, done // LATER)
+        n = np.minimum(size[now] - done, step)
+        begin = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) + np.repeat(first[now] + done - begin, n)
+        part = share[now] / (TRUST + done)
+        told, spelled = counted[at] + np.repeat(np.log(part), n), np.repeat(np.log1p(-part), n) - cost[at]
+        out[at] = np.logaddexp(told, spelled)
+        odds[at] = np.repeat(np.log(part) - np.log1p(-part), n)
+        share[now] += np.add.reduceat(np.exp(told - out[at]), begin)
+        done += step
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, frequent, log_all: float) -> Iterator[pa.RecordBatch]:
+    """Scores as if no token but the frequent ones were known; the others are listed with what knowing them is worth."""
     learned, known = model.value, frequent.value
     for batch in slices(batches):
-        raw = texts(batch["text"])
-        bits = np.zeros(len(raw))
-        items = [coded(t) for t in raw]
-        for a, b in runs(items, RUN_BYTES):
-            bits[a:b] = learned.bits(items[a:b])
-        tokens, hits, sums, rare, many = [], [], [], [], []
-        for t in raw:
-            seen = Counter(t.lower().split())
-            seen[b""] = 1
-            hit, total, rest, times = 0, 0.0, [], []
-            for w, n in seen.items():
-                v = known.get(w)
-                if v is None:
-                    rest.append(w)
-                    times.append(n)
-                else:
-                    total += n * v
-                    hit += n
-            tokens.append(hit + sum(times))
-            hits.append(hit)
-            sums.append(total)
-            rare.append(rest)
-            many.append(times)
+        words = [[*t.lower().split(), b""] for t in texts(batch["text"])]
+        items = [coded(w[:-1]) for w in words]
+        cost = learned.token_costs(items)
+        flat = [w for some in words for w in some]
+        value = np.array([known.get(w, -1.0) for w in flat])
+        size = np.array([len(w) for w in words], np.int64)
+        start = np.cumsum(size) - size
+        hit = value >= 0
+        nats, odds = mixture(value, cost, size, log_all)
+        rare = np.flatnonzero(~hit)
+        ends = pa.array(np.searchsorted(rare, np.append(start, len(flat))).astype(np.int32))
+        sums = (lambda x: np.add.reduceat(x, start)) if len(start) else (lambda x: np.zeros(0, x.dtype))
         out = {name: batch[name] for name in batch.schema.names if name not in ("text", "learn")}
-        yield pa.RecordBatch.from_pydict(out | {"n_tokens": pa.array(tokens, pa.int64()), "hits": pa.array(hits, pa.int64()), "sums": pa.array(sums), "bits": pa.array(bits), "n_bytes": pa.array([len(c) for c in items], pa.int64()), "rare": pa.array(rare, pa.list_(pa.binary())), "times": pa.array(many, pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict(
+            out
+            | {"n_tokens": pa.array(size), "hits": pa.array(sums(hit.astype(np.int64))), "sums": pa.array(sums(np.where(hit, value, 0.0))), "nats": pa.array(sums(nats)), "n_bytes": pa.array([len(c) for c in items], pa.int64())}
+            | {"rare": pa.ListArray.from_arrays(ends, pa.array([flat[k] for k in rare], pa.binary())), "costs": pa.ListArray.from_arrays(ends, pa.array((cost + odds)[rare], pa.float64()))}
+        )
 
 
 def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
@@ -361,49 +453,55 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
     doc_id, held_out (crc32 of the id as text modulo folds is left_out; a null id never is), n_tokens
     (words and the end), n_known (those that training texts hold), train_tokens, base_score (unigram,
     one added to each count), score (the mixed model's log10 probability of the text) and
-    bits_per_byte (of its coded form). A null text is empty: its one token is the end. Equal rows are
-    rows of their own; an empty table has no rows. Where nothing is left to learn from, counts are 0.
+    bits_per_byte (score in bits, by bytes of the coded form). A null text is empty: its one token is the end. Equal rows are
+    rows of their own; an empty table has no rows. Where nothing is left to learn from, counts are 0. Ties among
+    equally frequent tokens decide only where a token's count is looked up.
 
-    Token counts and the predictors' counts are over all training rows. The tables have a fixed number
-    of slots, so what goes to the executors is bounded (some 25 MB with the frequent tokens); counts of
-    all other tokens are joined.
+    Token counts and the predictors' counts are over all training rows. The predictors' tables grow
+    with the training text up to 2**MOST_BITS slots each, so what goes to the executors is bounded (some 20 MB with the
+    frequent tokens); counts of all other tokens grow without a bound and are joined.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
     fold = fold_of("doc_id", folds)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), (fold != left_out).alias("learn"))
-    counted_rows = rows.where("learn").select("text", "learn").mapInArrow(_pairs, "token binary, n long")
+    counted_rows = rows.where("learn").select("text", "learn").mapInArrow(_tokens, "token binary, n long")
     counts = stage(counted_rows.groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
-    is_pair = F.substring("token", 1, 1) == F.lit(b" ")
-    pairs = np.zeros(1 << 16, np.int64)
-    for token, n in counts.where(is_pair).collect():
-        pairs[token[1] * 256 + token[2]] = n
-    tokens = counts.where(~is_pair & (F.col("n") > 0))
-    train_tokens, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    is_byte = F.substring("token", 1, 1) == F.lit(b" ")
+    after = np.zeros(GROUPS << 16, np.int64)
+    for token, n in counts.where(is_byte).collect():
+        after[int.from_bytes(token[1:], "big")] = n
+    tokens = counts.where(~is_byte & (F.col("n") > 0))
+    train_tokens, distinct, n_bytes = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (F.octet_length("token") + 1)), F.lit(0))).first()
+    log_all = float(np.log10(train_tokens + distinct + 1))
     top = tokens.orderBy(F.desc("n"), "token").limit(FREQUENT)
     listed = top.select("token", "n").toArrow()
     frequent = dict(zip(listed["token"].to_pylist(), np.log10(listed["n"].to_numpy() + 1.0).tolist(), strict=True))
-    trees = Trees(pairs)
-    sent = sc.broadcast(trees)
-    parts = rows.where("learn").select("text", "learn").mapInArrow(partial(_counts, trees=sent), "chunk int, shift int, slots binary, counts binary")
-    n_chunks = sum((2 << b) // CHUNK for b in TABLE_BITS)
-    summed = parts.repartition(min(n_chunks, 64), "chunk").mapInArrow(_summed, "chunk int, counts binary")
-    found = [np.zeros(2 << b, np.uint16) for b in TABLE_BITS]
+    trees = Trees(after)
+    bits = min(MOST_BITS, max(LEAST_BITS, (n_bytes // BYTES_A_SLOT).bit_length()))
+    parts = rows.where("learn").select("text", "learn").mapInArrow(partial(_counts, trees=sc.broadcast(trees), bits=bits), "chunk int, shift int, slots binary, counts binary")
+    n_chunks = PREDICTORS * max(1, (2 << bits) // CHUNK)
+    summed = parts.repartition(min(n_chunks, 64), "chunk").mapInArrow(_summed, "chunk int, odds binary")
+    odds = [np.zeros(1 << bits, np.int8) for _ in range(PREDICTORS)]
     for chunk, got in summed.collect():
         k, at = divmod(chunk, 4096)
-        found[k][at * CHUNK : (at + 1) * CHUNK] = np.frombuffer(got, "<u2")
-    model = Model(trees, [np.clip(np.rint(log_odds(c) * 10), -127, 127).astype(np.int8) for c in found], [seen(c) for c in found[-2:]], np.empty(0))
-    sample = sample_texts(rows.where(F.col("learn") & (F.octet_length("text") < 1 << 16)), "text", WEIGHT_ROWS)
-    model.weights = fit_weights(model, [coded(t.encode()) for t in sample], found)
+        part = np.frombuffer(got, np.int8)
+        room = odds[k][at * CHUNK // 2 : (at + 1) * CHUNK // 2]
+        room[:] = part[: len(room)]
+    model = Model(trees, bits, odds)
     ids = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "learn")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = ids.mapInArrow(partial(_score, model=sc.broadcast(model), frequent=sc.broadcast(frequent)), f"row long, doc_id {kind}, n_tokens long, hits long, sums double, bits double, n_bytes long, rare array<binary>, times array<long>")
+    run = partial(_score, model=sc.broadcast(model), frequent=sc.broadcast(frequent), log_all=log_all)
+    made = ids.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, hits long, sums double, nats double, n_bytes long, rare array<binary>, costs array<double>")
     held = stage(made, "lm-rows")
-    rare = held.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    less = tokens.select("token", "n")
-    found_rare = rare.join(less, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("add"))
-    joined = held.drop("rare", "times").join(found_rare, "row", "left")
-    log_all = float(np.log10(train_tokens + distinct + 1))
+    rare = held.select("row", F.explode(F.arrays_zip("rare", "costs")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.costs").alias("cost"))
+    share = F.log10(F.col("n") + 1.0) - F.lit(log_all)
+    # log10(1 + share of the counts / share of the decisions * the token's count / probability of its decisions), without overflow
+    gain = share + F.col("cost") / F.lit(float(np.log(10)))
+    gain = F.greatest(gain, F.lit(0.0)) + F.log1p(F.pow(F.lit(10.0), -F.abs(gain))) / F.lit(float(np.log(10)))
+    found = rare.join(tokens.select("token", "n"), "token").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("add"), F.sum(gain).alias("gain"))
+    joined = held.drop("rare", "costs").join(found, "row", "left")
+    scored = F.col("nats") / F.lit(float(np.log(10))) + F.coalesce("gain", F.lit(0.0))
     return joined.select(
         "doc_id",
         (fold_of("doc_id", folds) == left_out).alias("held_out"),
@@ -411,8 +509,8 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
         (F.col("hits") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        (-F.col("bits") * F.lit(float(np.log10(2)))).alias("score"),
-        (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
+        scored.alias("score"),
+        (-scored / F.lit(float(np.log10(2))) / F.col("n_bytes")).alias("bits_per_byte"),
     )
 
 

@@ -35,31 +35,61 @@ def test_rare_tokens_take_the_join(spark, monkeypatch):
     assert few == {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in scoring.score(docs).collect()}
 
 
-def model():
-    pairs = np.zeros(1 << 16, np.int64)
-    trees = scoring.Trees(pairs)
-    counts = [np.zeros(2 << b, np.int64) for b in scoring.TABLE_BITS]
-    return scoring.Model(trees, [np.zeros(1 << b, np.int8) for b in scoring.TABLE_BITS], [scoring.seen(c) for c in counts[-2:]], np.full((scoring.GATES, len(counts) + 1), 0.3))
+def model(seed=None):
+    trees = scoring.Trees(np.zeros(scoring.GROUPS << 16, np.int64))
+    odds = np.zeros((scoring.PREDICTORS, 1 << 14), np.int8) if seed is None else np.random.default_rng(seed).integers(-60, 60, (scoring.PREDICTORS, 1 << 14)).astype(np.int8)
+    return scoring.Model(trees, 14, list(odds))
+
+
+def form(text):
+    return scoring.coded(text.lower().split())
 
 
 def test_trees_give_every_byte_a_code():
-    pairs = np.zeros(1 << 16, np.int64)
-    pairs[97 * 256 + 98] = 10**9
-    trees = scoring.Trees(pairs)
-    assert abs(sum(0.5 ** trees.length[97 * 256 + s] for s in range(256)) - 1) < 1e-9
-    assert trees.length[97 * 256 + 98] == 1
+    counts = np.zeros(scoring.GROUPS << 16, np.int64)
+    tree = 97 * scoring.GROUPS + (98 & scoring.GROUPS - 1)
+    counts[tree * 256 + 99] = 10**9
+    trees = scoring.Trees(counts)
+    for t in (tree, 0):
+        assert abs(sum(0.5 ** int(trees.length[t * 256 + s]) for s in range(256)) - 1) < 1e-9
+    assert trees.length[tree * 256 + 99] == 1
+
+
+def test_probabilities_of_what_may_follow_add_up_to_one():
+    m = model(3)
+    for before in (b"", b"ab", b"some words an"):
+        total = lambda body: m.costs([scoring.Part(body)])[0].sum() if body else 0.0
+        assert abs(sum(np.exp(total(before) - total(before + bytes([x]))) for x in range(256)) - 1) < 1e-4
 
 
 def test_score_is_of_the_text_alone():
-    m = model()
-    items = [scoring.coded(t) for t in (b"some words here", b"", b"other words " * 900, b"x")]
-    assert np.allclose(m.bits(items), [m.bits([t])[0] for t in items])
+    m = model(4)
+    items = [form(t) for t in (b"some words here", b"", b"other words " * 900, b"x", b"a long text of words " * 20_000)]
+    alone = np.concatenate([m.token_costs([t]) for t in items])
+    assert np.allclose(m.token_costs(items), alone, rtol=1e-3, atol=1e-3)
+
+
+def test_parts_see_what_stands_before_them():
+    rng = np.random.default_rng(5)
+    text = form(b" ".join(bytes(rng.integers(97, 100, int(n))) for n in rng.integers(1, 12, 600)) + b" " + b"q" * 300 + b" of")
+    trees = model().trees
+    whole = scoring.decisions([scoring.Part(text)], trees, 14)
+    for most in (40, 100, 1000):
+        parts = scoring.parts_of(text, most)
+        assert b"".join(p.body for p in parts) == text and len(parts) > 1
+        cut = [scoring.decisions([p], trees, 14) for p in parts]
+        assert all((np.concatenate([c.slots[k] for c in cut]) == whole.slots[k]).all() for k in range(scoring.PREDICTORS))
+
+
+def test_weights_learn_within_a_document():
+    m = model(6)
+    short, long = (m.token_costs([form(b"aaaa bb " * n)]).sum() / n for n in (100, 20_000))
+    assert long < 0.9 * short
 
 
-def test_refinement_learns_within_a_document():
-    m = model()
-    short, long = (m.bits([scoring.coded(b"aaaa " * n)])[0] / n for n in (100, 20_000))
-    assert long <= short
+def test_model_beats_counts_on_held_out_texts(spark):
+    rows = scoring.op1_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum"}).first().asDict()
+    assert rows["sum(score)"] > rows["sum(base_score)"]
 
 
 def alignment(item, text):
