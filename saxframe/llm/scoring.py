@@ -1,12 +1,12 @@
-"""LM scoring: online logistic mixing of hashed-context bit predictors and, beside it, of whole tokens.
+"""LM scoring: online logistic mixing of hashed-context bit predictors and, beside it, of token counts.
 
-A text is its tokens: words with A-Z lower-cased, each followed by a space, and one end. The bytes of
-that form are coded by binary decisions along a tree that depends on the two bytes before (the trees are
-Huffman's for the corpus, so that a byte takes about three decisions). For every decision, predictors
-look up the log odds of a one under hashes of different contexts; they are added up with weights that a
-gate chooses, and the weights of each gate go down the gradient of what the decisions cost as the
-document goes on. They begin at one value in every document: nothing is fitted beforehand, so a score
-depends on the corpus counts and on the text alone.
+A text is its tokens: words with A-Z lower-cased, and one end. A frequent token is coded as a whole, by
+binary decisions along Huffman's tree of the frequent tokens; any other by an escape in that tree and then
+byte by byte, with a space at its end, along trees that depend on the two bytes before. For every decision,
+predictors look up the log odds of a one under hashes of different contexts; they are added up with
+weights that a gate chooses, and the weights of each gate go down the gradient of what the decisions cost
+as the document goes on. They begin at one value in every document: nothing is fitted beforehand, so a
+score depends on the corpus counts and on the text alone.
 
 The probability of a token is a mixture: a share of it is the token's share of all training tokens
 (exact counts, a table that grows with the corpus and is joined), the rest is the product of its
@@ -29,136 +29,103 @@ from pyspark.sql import functions as F
 
 from saxframe.llm.common import fold_of, runs, slices, stage, table, texts
 
-#: Predictors: order 3, order 5, the word so far after the last short word (short words tell languages apart).
+#: Predictors. Of a frequent token: the last short token (short words tell languages apart), the token
+#: before, the two before. Of a byte: order 3, order 5, both within the word, and the word so far after the
+#: last short token.
 PREDICTORS = 3
 #: The slots of each predictor's table, as a power of two: one for each byte of training text, within
 #: bounds that keep what every executor holds below 40 MB.
-BYTES_A_SLOT = 1
 LEAST_BITS, MOST_BITS = 12, 22
 #: Bytes of a short word at most.
 SHORT = 4
-SPACE, END = 0x20, 0x0A
 CONTEXT = 5
 NOTHING = b"\n" * CONTEXT
-#: Bytes and texts whose decisions are made at once.
-RUN_BYTES, RUN_TEXTS = 1 << 17, 4000
-#: Decisions of a document after which its weights learn; a step is longer where it is less than a share of what came before.
-STEP, LATER = 1024, 8
+#: Tokens whose decisions are made at once; a longer text is taken in stretches.
+RUN_TOKENS = 1 << 12
+#: Tokens of a document after which its weights learn; a step is longer where it is less than a share of what came before.
+STEP, LATER = 64, 8
 #: The share of the longest safe step that weights take, and the curvature that they start against.
-RATE, STIFF = 1.0, 10.0
-#: What the weights begin at.
-START = 0.3
-#: A gate is how far apart the odds of the two longest contexts are, in tenths of a unit of log odds.
-LEVELS = (5, 15, 30)
-GATES = (len(LEVELS) + 1) ** 2
+RATE, STIFF = 1.0, 1000.0
+#: What the weights of log odds in tenths begin at, and the input of the last weight, a constant.
+START, BIAS = 0.03, 10.0
+#: A gate is, of a frequent token, whether the one before is short and, of a byte, its place in the word up to the fourth.
+GATES = 6
 #: The share of the token counts in a token's probability at first, what it weighs in tokens, and the tokens of a step.
 SHARE, TRUST, TOKENS = 1 / 8, 16, 32
-#: Of the most frequent tokens, so many are looked up in memory; all others in a join.
-FREQUENT = 1 << 17
+#: So many of the most frequent tokens, of those that occur LEAST times, are coded as a whole, their counts looked up in
+#: memory; all others are spelled, and their counts joined.
+FREQUENT, LEAST = 1 << 18, 8
 CHUNK = 1 << 15
 #: Groups of a byte, for the trees: its low bits.
 GROUPS = 16
 _POWER, _INVERSE = 0x01000193, pow(0x01000193, -1, 1 << 32)
-_EDGES = np.abs(np.arange(256).astype(np.uint8).view(np.int8).astype(np.int64))
-_LEVEL = np.searchsorted(np.array(LEVELS), _EDGES, side="right").astype(np.uint8)
 
 
-def coded(words: list[bytes]) -> bytes:
-    """The form that is scored: lower-cased words, a space after each, and the end."""
-    return b" ".join([*words, b""]) + b"\n"
-
-
-@dataclass
-class Part:
-    """A stretch of whole tokens of a coded text, the bytes before it and the last short word before it."""
-
-    body: bytes
-    before: bytes = NOTHING
-    hint: int = 0
-
-
-def parts_of(text: bytes, most: int | None = None) -> list[Part]:
-    """A coded text in stretches of about so many bytes that end with a token."""
-    most = most or RUN_BYTES
-    if len(text) <= most:
-        return [Part(text)]
-    out, at, hint = [], 0, 0
-    while at < len(text):
-        end = text.rfind(b" ", at, at + most) + 1 if at + most < len(text) else len(text)
-        if not end:
-            end = text.find(b" ", at) + 1 or len(text)
-        out.append(Part(text[at:end], (NOTHING + text[max(0, at - CONTEXT) : at])[-CONTEXT:], hint))
-        to = end - 1
-        while to > at:
-            start = text.rfind(b" ", at, to) + 1 or at
-            if to - start <= SHORT:
-                hint = sum((b + 1) * pow(_POWER, k, 1 << 32) for k, b in enumerate(text[start : to + 1])) % (1 << 32)
-                break
-            to = start - 1
-        at = end
-    return out
-
-
-def text_runs(items: list[bytes]) -> Iterator[tuple[int, int]]:
-    """[from, to) of consecutive texts of RUN_BYTES and RUN_TEXTS at most, or of one longer text."""
-    for a, b in runs(items, RUN_BYTES):
-        for c in range(a, b, RUN_TEXTS):
-            yield c, min(b, c + RUN_TEXTS)
-
-
-class Trees:
-    """For the bytes before, the decisions (node, bit) that lead to each byte: Huffman's tree over counts + 1/64.
-
-    A tree is that of the byte before and a group of the one before that. node is a hash of the tree
-    and the node; its lowest bit is the decision.
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """A finaliser for 32-bit hashes."""
+    x = (x ^ x >> np.uint32(15)) * np.uint32(0x85EBCA6B)
+    x = (x ^ x >> np.uint32(13)) * np.uint32(0xC2B2AE3D)
+    return x ^ x >> np.uint32(16)
+
+
+def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(2 * node + bit along the ways to all symbols, the lengths of the ways)."""
+    n = len(weights)
+    heap = [(w, s) for s, w in enumerate(weights)]
+    heapq.heapify(heap)
+    up = np.zeros(2 * n, np.int64)
+    for fresh in range(n, 2 * n - 1):
+        w, a = heapq.heappop(heap)
+        v, b = heap[0]
+        heapq.heapreplace(heap, (w + v, fresh))
+        up[a], up[b] = 2 * (fresh - n), 2 * (fresh - n) + 1
+    root, at = 2 * n - 2, np.arange(n)
+    owner, steps, depth = [], [], []
+    k = 0
+    while len(live := np.flatnonzero(at != root)):
+        owner.append(live)
+        steps.append(up[at[live]])
+        depth.append(np.full(len(live), k))
+        at[live] = n + (up[at[live]] >> 1)
+        k += 1
+    if not owner:
+        return np.empty(0, np.int64), np.zeros(n, np.int64)
+    owner, steps, depth = (np.concatenate(x) for x in (owner, steps, depth))
+    order = np.lexsort((-depth, owner))
+    return steps[order], np.bincount(owner, minlength=n)
+
+
+class Code:
+    """The frequent tokens, and the way of decisions to each of them, to the escape and to each byte.
+
+    A byte's tree is that of the byte before and a group of the one before that. node is a hash of the
+    tree and the node; its lowest bit is the decision.
     """
 
-    def __init__(self, counts: np.ndarray) -> None:
-        node, self.length = [], np.zeros(GROUPS << 16, np.uint8)
-        self.first = np.zeros(GROUPS << 16, np.int32)
-        at = 0
-        for tree in range(-1, GROUPS << 8):
-            own = slice(tree * 256, tree * 256 + 256)
-            if tree >= 0 and not counts[own].any():
-                # one tree, the first, for all that were never seen
-                self.first[own], self.length[own] = none_first, none_length
-                continue
-            paths = self._codes((counts[own].astype(np.int64) * 64 + 1).tolist() if tree >= 0 else [1] * 256)
-            length = np.array([len(p) for p in paths])
-            begin = at + np.cumsum(length) - length
-            at += int(length.sum())
-            if tree < 0:
-                none_first, none_length = begin, length
-            else:
-                self.first[own], self.length[own] = begin, length
-            flat = np.concatenate(paths)
-            x = (flat >> 1).astype(np.uint32) + np.uint32((tree + 1) << 8)
-            x = (x ^ x >> np.uint32(7)) * np.uint32(0x85EBCA6B)
-            x = (x ^ x >> np.uint32(15)) * np.uint32(0xC2B2AE3D)
-            node.append((x ^ x >> np.uint32(16)) & ~np.uint32(1) | (flat & 1).astype(np.uint32))
-        self.node = np.concatenate(node)
-
-    @staticmethod
-    def _codes(weights: list[int]) -> list[np.ndarray]:
-        """2 * node + bit along the way to each symbol."""
-        heap = [(w, s, s) for s, w in enumerate(weights)]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        fresh = 256
-        while len(heap) > 1:
-            (wa, _, a), (wb, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            up[a], up[b] = (fresh, 0), (fresh, 1)
-            heapq.heappush(heap, (wa + wb, fresh, fresh))
-            fresh += 1
-        out = []
-        for s in range(256):
-            path, at = [], s
-            while at in up:
-                parent, b = up[at]
-                path.append(2 * (parent - 255) + b)
-                at = parent
-            out.append(np.array(path[::-1], np.int64))
-        return out
+    def __init__(self, frequent: list[tuple[bytes, int]], others: int, after: np.ndarray) -> None:
+        self.number = {t: k for k, (t, _) in enumerate(frequent)}
+        self.short = np.array([len(t) <= SHORT for t, _ in frequent] + [False])
+        node, lengths = [], []
+
+        def add(weights: list[int], tree: int) -> np.ndarray:
+            steps, length = huffman(weights)
+            x = scrambled((steps >> 1).astype(np.uint32) + np.uint32(tree))
+            node.append(x & ~np.uint32(1) | (steps & 1).astype(np.uint32))
+            lengths.append(length)
+            return length
+
+        add([n for _, n in frequent] + [max(1, others)], 1 << 28)
+        trees = np.zeros(GROUPS << 8, np.int64)
+        add([1] * 256, 1 << 27)  # of all contexts that were never seen
+        seen = 0
+        for tree in np.flatnonzero(after.reshape(-1, 256).any(axis=1)).tolist():
+            seen += 1
+            trees[tree] = seen
+            add((after[tree * 256 : tree * 256 + 256].astype(np.int64) * 64 + 1).tolist(), (tree + 1) << 8)
+        self.trees = trees
+        self.node, length = np.concatenate(node), np.concatenate(lengths)
+        self.first, self.length = (np.cumsum(length) - length).astype(np.int32), length.astype(np.int32)
+        self.bytes_at = len(frequent) + 1
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint32)] * 2
@@ -173,67 +140,102 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Decisions:
-    slots: list[np.ndarray]
-    bit: np.ndarray
-    #: where each part's decisions begin, and one more at the end
-    first: np.ndarray
-    #: where each token's decisions begin
+class Units:
+    """What is coded by one way through a tree: a frequent token, an escape, a byte."""
+
+    way: np.ndarray
+    hashes: list[np.ndarray]
+    gate: np.ndarray
     token: np.ndarray
-    #: tokens of each part
-    tokens: np.ndarray
-
-
-def decisions(parts: list[Part], trees: Trees, bits: int) -> Decisions:
-    """All decisions of the parts, with the slot of each predictor for each."""
-    size = np.array([len(p.body) for p in parts], np.int64)
-    start = np.cumsum(size) - size
-    whole = b"".join([x for p in parts for x in (p.before, p.body)])
-    n = int(size.sum())
-    real = np.arange(n) + np.repeat(CONTEXT * np.arange(1, len(parts) + 1), size)
-    raw = np.frombuffer(whole, np.uint8)
-    data = raw[real]
-    four = np.ndarray((len(whole) - 4,), np.uint32, whole, 0, (1,))[real - 4]
-    fifth = raw[real - 5].astype(np.uint32)
-    # the word so far: prefix sums that start anew at each word
-    ends = (data == SPACE) | (data == END)
-    after = np.concatenate([[True], ends[:-1]])
-    starts = np.flatnonzero(after)
-    next_start = np.append(starts[1:], n)
-    up, down = _powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data.astype(np.uint32) + np.uint32(1)) * up[:n], dtype=np.uint32)])
-    each = next_start - starts
-    so_far = (sums[:n] - np.repeat(sums[starts], each)) * np.repeat(down[starts], each)
-    words = (sums[next_start] - sums[starts]) * down[starts]
-    # the last short word before each word of the same text, or none
-    part_word = np.searchsorted(starts, start)
-    short = np.where(each <= SHORT + 1, np.arange(len(starts)), -1)
-    recent = np.maximum.accumulate(np.concatenate([[-1], short[:-1]]))
-    tokens = np.diff(np.append(part_word, len(starts)))
-    given = np.repeat(np.array([p.hint for p in parts], np.uint32), tokens)
-    hint = np.where(recent >= np.repeat(part_word, tokens), words[np.maximum(recent, 0)], given)
-    hinted = np.repeat(hint ^ (hint >> np.uint32(16)), each)
-    hashes = [four >> np.uint32(8), four ^ fifth * np.uint32(0x85EBCA77), so_far + hinted * np.uint32(0xC2B2AE35) + np.uint32(5)]
-    # from bytes to decisions
-    code = ((four >> np.uint32(24)) * np.uint32(GROUPS) + (four >> np.uint32(16) & np.uint32(GROUPS - 1))).astype(np.int64) * 256 + data
-    length = trees.length[code].astype(np.int64)
-    ends_at = np.cumsum(length)
-    total = int(ends_at[-1])
-    begins = ends_at - length
-    k = np.repeat(trees.first[code] - begins, length)
+
+
+class Texts:
+    """Tokens of whole texts, one text after another, each with its number (len(frequent): not frequent) and its contexts."""
+
+    def __init__(self, texts_tokens: list[list[bytes]], code: Code) -> None:
+        self.code = code
+        self.tokens = [w for some in texts_tokens for w in some]
+        self.size = np.array([len(w) for w in texts_tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        none = code.bytes_at - 1
+        self.id = np.array([code.number.get(w, none) for w in self.tokens], np.int64)
+        self.rare = np.flatnonzero(self.id == none)
+        n = len(self.id)
+        name = scrambled(self.id.astype(np.uint32) + np.uint32(1))
+        first = np.zeros(n, bool)
+        first[self.start] = True
+        short = code.short[self.id]
+        short[self.rare] = [len(self.tokens[k]) <= SHORT for k in self.rare]
+        begin = np.repeat(self.start, self.size)
+        recent = np.maximum.accumulate(np.concatenate([[-1], np.where(short, np.arange(n), -1)[:-1]])) if n else np.empty(0, np.int64)
+        self.hint = np.where(recent >= begin, name[np.maximum(recent, 0)], np.uint32(0))
+        self.before = np.where(first, np.uint32(0), np.concatenate([np.zeros(1, np.uint32), name[:-1]])) if n else name
+        self.two = np.where(first, np.uint32(0), np.concatenate([np.zeros(1, np.uint32), self.before[:-1]])) if n else name
+        self.after_short = np.where(first, False, np.concatenate([[False], short[:-1]])) if n else short
+
+    def units(self, a: int, b: int) -> Units:
+        """Those of the tokens from a to b, first the frequent tokens and escapes, then all bytes."""
+        code = self.code
+        hint, before = self.hint[a:b], self.before[a:b]
+        hashes = [[scrambled(hint + np.uint32(11)), scrambled(before + np.uint32(0x5851F42D)), scrambled(before * np.uint32(0x9E3779B1) + self.two[a:b])]]
+        way, gate, token = [self.id[a:b]], [self.after_short[a:b].astype(np.uint8)], [np.arange(b - a)]
+        low, high = np.searchsorted(self.rare, [a, b])
+        spelled = self.rare[low:high]
+        if len(spelled):
+            words = [self.tokens[k] for k in spelled.tolist()]
+            size = np.array([len(w) + 1 for w in words], np.int64)
+            start = np.cumsum(size) - size
+            n = int(size.sum())
+            whole = NOTHING + (b" " + NOTHING).join([*words, b""])
+            place = np.arange(n) - np.repeat(start, size)
+            real = np.arange(n) + np.repeat(CONTEXT * np.arange(1, len(words) + 1), size)
+            raw = np.frombuffer(whole, np.uint8)
+            data = raw[real]
+            four = np.ndarray((len(whole) - 4,), np.uint32, whole, 0, (1,))[real - 4]
+            up, down = _powers(n + 1)
+            sums = np.concatenate([np.zeros(1, np.uint32), np.cumsum((data.astype(np.uint32) + np.uint32(1)) * up[:n], dtype=np.uint32)])
+            so_far = (sums[:n] - np.repeat(sums[start], size)) * np.repeat(down[start], size)
+            hints = np.repeat(hint[spelled - a], size)
+            hashes.append([scrambled(four >> np.uint32(8)), scrambled(four ^ raw[real - 5].astype(np.uint32) * np.uint32(0x85EBCA77)), scrambled(so_far + hints * np.uint32(0xC2B2AE35) + np.uint32(5))])
+            tree = code.trees[(four >> np.uint32(24)) * np.uint32(GROUPS) + (four >> np.uint32(16) & np.uint32(GROUPS - 1))]
+            way.append(code.bytes_at + tree * 256 + data)
+            gate.append((2 + np.minimum(place, 3)).astype(np.uint8))
+            token.append(np.repeat(spelled - a, size))
+        return Units(np.concatenate(way), [np.concatenate(h) for h in zip(*hashes, strict=True)], np.concatenate(gate), np.concatenate(token))
+
+
+def expanded(units: Units, code: Code, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Of all decisions of the units, in order: the slot of each predictor, the bit, and where each unit begins, and one more."""
+    length = code.length[units.way]
+    ends = np.cumsum(length, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    begins = ends - length
+    unit = np.zeros(total + 1, np.int64)
+    np.add.at(unit, begins, 1)
+    unit = np.cumsum(unit[:total]) - 1
+    k = (code.first[units.way] - begins)[unit]
     k += np.arange(total)
-    leaf = trees.node[k]
+    leaf = code.node[k]
     node = leaf & ~np.uint32(1)
     slots = []
-    for h in hashes:
-        h = (h ^ h >> np.uint32(15)) * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(13)
-        h *= np.uint32(0xC2B2AE3D)
-        x = np.repeat(h, length)
+    for h in units.hashes:
+        x = h[unit]
         x += node
         x >>= np.uint32(32 - bits)
         slots.append(x.astype(np.intp))
-    return Decisions(slots, (leaf & np.uint32(1)).astype(np.uint8), np.append(begins[start], total), begins[starts], tokens)
+    return slots, (leaf & np.uint32(1)).astype(np.uint8), np.append(begins, total)
+
+
+def token_runs(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """[from, to) of consecutive texts of RUN_TOKENS at most, or of one longer text."""
+    at, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > at and held + n > RUN_TOKENS:
+            yield at, k
+            at, held = k, 0
+        held += n
+    if at < len(size):
+        yield at, len(size)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -244,85 +246,92 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    trees: Trees
+    code: Code
     bits: int
     #: log odds of the slots of each predictor
     odds: list[np.ndarray]
 
-    def costs(self, parts: list[Part], weights: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """What each token of the parts costs in nats, the tokens of each part, and the weights at the end.
+    def costs(self, some: Texts, first: int, last: int) -> np.ndarray:
+        """What each token of the texts from first to last costs in nats: one run, or one long text in stretches.
 
-        Parts are of different documents, each with its own weights: given ones, or those that all
-        documents begin with. The decisions of a step are coded by the weights before it, which then go
+        Each text has weights of its own. The decisions of a step are coded by the weights before it, which then go
         down the gradient, by a step that the curvature met so far bounds: it can't overshoot.
         """
-        d = decisions(parts, self.trees, self.bits)
-        odds = [o.take(s, mode="wrap") for o, s in zip(self.odds, d.slots, strict=True)]
-        gate = _LEVEL[odds[1].view(np.uint8)] * np.uint8(len(LEVELS) + 1) + _LEVEL[odds[2].view(np.uint8)]
-        size = np.diff(d.first)
-        order = np.argsort(-size, kind="stable")
-        if weights is None:
-            weights = [np.full(len(parts) * GATES, START if k < PREDICTORS else 0, np.float32) for k in range(PREDICTORS + 1)]
-            weights.append(np.full(len(parts) * GATES, STIFF, np.float32))
-        cost = np.empty(len(d.bit), np.float32)
-        alive, done = len(order), 0
-        while True:
-            while alive and size[order[alive - 1]] <= done:
-                alive -= 1
-            if not alive:
-                break
-            now = order[:alive]
-            step = max(STEP, done // LATER)
-            n = np.minimum(size[now] - done, step)
-            at = np.arange(int(n.sum()))
-            at += np.repeat(d.first[now] + done - (np.cumsum(n) - n), n)
-            key = np.repeat(np.arange(alive) * GATES, n)
-            key += gate[at]
-            # in order of document and gate: each group's weights stand together
-            each = np.bincount(key, minlength=alive * GATES)
-            at = at[np.argsort(key.astype(np.uint16) if len(each) <= 1 << 16 else key, kind="stable")]
-            group = np.flatnonzero(each)
-            each = each[group]
-            begin = np.cumsum(each) - each
-            z = np.repeat(weights[PREDICTORS][group], each)
-            xs, square = [], np.ones(len(at), np.float32)
+        n = last - first
+        weights = [np.full(n * GATES, START if k < PREDICTORS else 0, np.float32) for k in range(PREDICTORS + 1)]
+        stiff = np.full(n * GATES, STIFF, np.float32)
+        begin, end = int(some.start[first]), int(some.start[last - 1] + some.size[last - 1])
+        longest = int(some.size[first:last].max())
+        edges = [0]
+        while edges[-1] < longest:
+            edges.append(edges[-1] + max(STEP, edges[-1] // LATER))
+        steps = np.array(edges)
+        out = []
+        at = begin
+        while at < end:
+            to = end if n > 1 else min(end, begin + edges[max(int(np.searchsorted(steps, at - begin + RUN_TOKENS, side="right")) - 1, int(np.searchsorted(steps, at - begin, side="right")))])
+            out.append(self._stretch(some, first, last, at, to, steps, weights, stiff))
+            at = to
+        return np.concatenate(out)
+
+    def _stretch(self, some: Texts, first: int, last: int, a: int, b: int, steps: np.ndarray, weights: list[np.ndarray], stiff: np.ndarray) -> np.ndarray:
+        n = last - first
+        units = some.units(a, b)
+        where = np.arange(a, b) - np.repeat(some.start[first:last], some.size[first:last])[: b - a] if n > 1 else np.arange(a, b) - some.start[first]
+        step = np.searchsorted(steps, where, side="right") - 1
+        low = int(step.min())
+        text = np.repeat(np.arange(n), some.size[first:last]) if n > 1 else np.zeros(b - a, np.int64)
+        # units in order of step, text and gate: what shares weights stands together
+        key = ((step - low) * n + text)[units.token] * GATES + units.gate
+        order = np.argsort(key.astype(np.uint16) if int(key.max()) < 1 << 16 else key, kind="stable")
+        key = key[order]
+        units = Units(units.way[order], [h[order] for h in units.hashes], units.gate, units.token[order])
+        slots, bit, starts = expanded(units, self.code, self.bits)
+        odds = [o.take(s, mode="wrap") for o, s in zip(self.odds, slots, strict=True)]
+        del slots
+        cost = np.empty(len(bit), np.float32)
+        groups = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        group_key, group_at = key[groups], starts[np.append(groups, len(key))]
+        per_step = np.searchsorted(group_key, np.arange(int(step.max()) - low + 2) * n * GATES)
+        for f, t in zip(per_step[:-1].tolist(), per_step[1:].tolist(), strict=True):
+            x0, x1 = int(group_at[f]), int(group_at[t])
+            if x0 == x1:
+                continue
+            group = group_key[f:t] % (n * GATES)
+            edge = group_at[f:t] - x0
+            each = group_at[f + 1 : t + 1] - group_at[f:t]
+            # a frequent token that is alone in its tree takes no decision
+            full = each > 0
+            group, edge, each = group[full], edge[full], each[full]
+            z = np.repeat(weights[PREDICTORS][group] * np.float32(BIAS), each)
+            xs, square = [], np.full(x1 - x0, BIAS * BIAS, np.float32)
             for o, w in zip(odds, weights, strict=False):
-                x = o[at].astype(np.float32)
-                x *= np.float32(0.1)
+                x = o[x0:x1].astype(np.float32)
                 xs.append(x)
                 z += np.repeat(w[group], each) * x
                 square += x * x
             np.clip(z, -20, 20, out=z)
-            sign = d.bit[at].astype(np.float32)
+            sign = bit[x0:x1].astype(np.float32)
             sign *= 2
             sign -= 1
             z *= -sign
             np.exp(z, out=z)
-            cost[at] = np.log1p(z)
+            np.log1p(z, out=cost[x0:x1])
             z /= z + np.float32(1)
             square *= z - z * z
-            stiff = weights[PREDICTORS + 1]
-            stiff[group] += np.add.reduceat(square, begin)
+            stiff[group] += np.add.reduceat(square, edge)
             z *= sign  # the decision less its probability
             rate = np.float32(RATE) / stiff[group]
             for x, w in zip(xs, weights, strict=False):
                 x *= z
-                w[group] += rate * np.add.reduceat(x, begin)
-            weights[PREDICTORS][group] += rate * np.add.reduceat(z, begin)
-            done += step
-        return np.add.reduceat(cost, d.token, dtype=np.float64), d.tokens, weights
-
-    def token_costs(self, items: list[bytes]) -> np.ndarray:
-        """What each token of whole coded texts costs in nats, one text after another."""
-        out = []
-        for a, b in text_runs(items):
-            if b - a > 1 or len(items[a]) <= RUN_BYTES:
-                out.append(self.costs([Part(t) for t in items[a:b]])[0])
-                continue
-            weights = None
-            for part in parts_of(items[a]):
-                found, _, weights = self.costs([part], weights)
-                out.append(found)
+                w[group] += rate * np.add.reduceat(x, edge)
+            weights[PREDICTORS][group] += np.float32(BIAS) * rate * np.add.reduceat(z, edge)
+        sums = np.concatenate([np.zeros(1), np.cumsum(cost, dtype=np.float64)])
+        return np.bincount(units.token, sums[starts[1:]] - sums[starts[:-1]], b - a)
+
+    def token_costs(self, some: Texts) -> np.ndarray:
+        """What each token of whole texts costs in nats, one text after another."""
+        out = [self.costs(some, a, b) for a, b in token_runs(some.size)]
         return np.concatenate(out) if out else np.empty(0)
 
 
@@ -331,25 +340,27 @@ def _fold(batch: pa.RecordBatch, items: list[bytes]) -> list[bytes]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of tokens and, for the trees, of bytes after two bytes, of the documents to learn from."""
+    """Counts of tokens and, for the trees, of bytes after two bytes of a word, of the documents to learn from."""
     after, tokens = np.zeros(GROUPS << 16, np.int64), Counter()
 
     def flush() -> pa.RecordBatch:
-        words, n = list(tokens.keys()), list(tokens.values())
+        words, n = list(tokens.keys()), np.fromiter(tokens.values(), np.int64, len(tokens))
+        data = np.frombuffer(b"  " + b" ".join([*words, b""]), np.uint8)
+        gap = data == 0x20
+        one, two = data.astype(np.int32), data.astype(np.int32)
+        one[gap] = NOTHING[0]
+        two[gap] = NOTHING[0]
+        two[:-1][gap[1:]] = NOTHING[0]
+        times = np.repeat(n, [len(w) + 1 for w in words])
+        after[:] += np.bincount((one[1:-1] * GROUPS + (two[:-2] & (GROUPS - 1))) * 256 + data[2:], times, GROUPS << 16).astype(np.int64)
         tokens.clear()
-        return pa.RecordBatch.from_pydict({"token": pa.array(words, pa.binary()), "n": pa.array(n, pa.int64())})
+        return pa.RecordBatch.from_pydict({"token": pa.array(words, pa.binary()), "n": pa.array(n)})
 
     for batch in slices(batches):
         items = _fold(batch, texts(batch["text"]))
-        forms = []
         for t in items:
-            words = t.lower().split()
-            tokens.update(words)
-            forms.append(coded(words))
+            tokens.update(t.lower().split())
         tokens[b""] += len(items)
-        for a, b in runs(forms, 1 << 21):
-            data = np.frombuffer(NOTHING + NOTHING.join([*forms[a:b], b""]), np.uint8).astype(np.int32)
-            after += np.bincount((data[1:-1] * GROUPS + (data[:-2] & (GROUPS - 1))) * 256 + data[2:], minlength=GROUPS << 16)
         if len(tokens) > 300_000:
             yield flush()
     yield flush()
@@ -358,18 +369,17 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"token": pa.array([b" " + int(k).to_bytes(3, "big") for k in some], pa.binary()), "n": pa.array(after[some])})
 
 
-def _counts(batches: Iterator[pa.RecordBatch], trees, bits: int) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], code, bits: int) -> Iterator[pa.RecordBatch]:
     """Each task's counts of zeros and ones, a chunk of a table a row: by slot where few are there, else all of them."""
     held = [np.zeros(2 << bits, np.uint32) for _ in range(PREDICTORS)]
     for batch in slices(batches):
-        items = [coded(t.lower().split()) for t in _fold(batch, texts(batch["text"]))]
-        for a, b in text_runs(items):
-            for some in [[p] for p in parts_of(items[a])] if b - a == 1 else [[Part(t) for t in items[a:b]]]:
-                d = decisions(some, trees.value, bits)
-                for h, s in zip(held, d.slots, strict=True):
-                    s += s
-                    s += d.bit
-                    np.add.at(h, s, np.uint32(1))
+        some = Texts([[*t.lower().split(), b""] for t in _fold(batch, texts(batch["text"]))], code.value)
+        for at in range(0, len(some.id), RUN_TOKENS):
+            slots, bit, _ = expanded(some.units(at, min(len(some.id), at + RUN_TOKENS)), code.value, bits)
+            for h, s in zip(held, slots, strict=True):
+                s += s
+                s += bit
+                np.add.at(h, s, np.uint32(1))
     for k, h in enumerate(held):
         for at in range(0, len(h), CHUNK):
             part = h[at : at + CHUNK]
@@ -423,27 +433,23 @@ def mixture(value: np.ndarray, cost: np.ndarray, size: np.ndarray, log_all: floa
         done += step
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, frequent, log_all: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, logs, log_all: float) -> Iterator[pa.RecordBatch]:
     """Scores as if no token but the frequent ones were known; the others are listed with what knowing them is worth."""
-    learned, known = model.value, frequent.value
+    learned = model.value
     for batch in slices(batches):
         words = [[*t.lower().split(), b""] for t in texts(batch["text"])]
-        items = [coded(w[:-1]) for w in words]
-        cost = learned.token_costs(items)
-        flat = [w for some in words for w in some]
-        value = np.array([known.get(w, -1.0) for w in flat])
-        size = np.array([len(w) for w in words], np.int64)
-        start = np.cumsum(size) - size
+        some = Texts(words, learned.code)
+        cost = learned.token_costs(some)
+        value = logs.value[some.id]
         hit = value >= 0
-        nats, odds = mixture(value, cost, size, log_all)
-        rare = np.flatnonzero(~hit)
-        ends = pa.array(np.searchsorted(rare, np.append(start, len(flat))).astype(np.int32))
-        sums = (lambda x: np.add.reduceat(x, start)) if len(start) else (lambda x: np.zeros(0, x.dtype))
+        nats, odds = mixture(value, cost, some.size, log_all)
+        ends = pa.array(np.searchsorted(some.rare, np.append(some.start, len(value))).astype(np.int32))
+        sums = (lambda x, at=some.start: np.add.reduceat(x, at)) if len(some.size) else (lambda x: np.zeros(0, x.dtype))
         out = {name: batch[name] for name in batch.schema.names if name not in ("text", "learn")}
         yield pa.RecordBatch.from_pydict(
             out
-            | {"n_tokens": pa.array(size), "hits": pa.array(sums(hit.astype(np.int64))), "sums": pa.array(sums(np.where(hit, value, 0.0))), "nats": pa.array(sums(nats)), "n_bytes": pa.array([len(c) for c in items], pa.int64())}
-            | {"rare": pa.ListArray.from_arrays(ends, pa.array([flat[k] for k in rare], pa.binary())), "costs": pa.ListArray.from_arrays(ends, pa.array((cost + odds)[rare], pa.float64()))}
+            | {"n_tokens": pa.array(some.size), "hits": pa.array(sums(hit.astype(np.int64))), "sums": pa.array(sums(np.where(hit, value, 0.0))), "nats": pa.array(sums(nats)), "n_bytes": pa.array([sum(map(len, w)) + len(w) for w in words], pa.int64())}
+            | {"rare": pa.ListArray.from_arrays(ends, pa.array([some.tokens[k] for k in some.rare.tolist()], pa.binary())), "costs": pa.ListArray.from_arrays(ends, pa.array((cost + odds)[some.rare], pa.float64()))}
         )
 
 
@@ -453,9 +459,9 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
     doc_id, held_out (crc32 of the id as text modulo folds is left_out; a null id never is), n_tokens
     (words and the end), n_known (those that training texts hold), train_tokens, base_score (unigram,
     one added to each count), score (the mixed model's log10 probability of the text) and
-    bits_per_byte (score in bits, by bytes of the coded form). A null text is empty: its one token is the end. Equal rows are
-    rows of their own; an empty table has no rows. Where nothing is left to learn from, counts are 0. Ties among
-    equally frequent tokens decide only where a token's count is looked up.
+    bits_per_byte (score in bits, by bytes of the tokens, one more for each). A null text is empty: its one token is the end. Equal rows are
+    rows of their own; an empty table has no rows. Where nothing is left to learn from, counts are 0. Of equally
+    frequent tokens the lesser bytes come first.
 
     Token counts and the predictors' counts are over all training rows. The predictors' tables grow
     with the training text up to 2**MOST_BITS slots each, so what goes to the executors is bounded (some 20 MB with the
@@ -474,12 +480,13 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
     tokens = counts.where(~is_byte & (F.col("n") > 0))
     train_tokens, distinct, n_bytes = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum(F.col("n") * (F.octet_length("token") + 1)), F.lit(0))).first()
     log_all = float(np.log10(train_tokens + distinct + 1))
-    top = tokens.orderBy(F.desc("n"), "token").limit(FREQUENT)
+    top = tokens.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "token").limit(FREQUENT)
     listed = top.select("token", "n").toArrow()
-    frequent = dict(zip(listed["token"].to_pylist(), np.log10(listed["n"].to_numpy() + 1.0).tolist(), strict=True))
-    trees = Trees(after)
-    bits = min(MOST_BITS, max(LEAST_BITS, (n_bytes // BYTES_A_SLOT).bit_length()))
-    parts = rows.where("learn").select("text", "learn").mapInArrow(partial(_counts, trees=sc.broadcast(trees), bits=bits), "chunk int, shift int, slots binary, counts binary")
+    n = listed["n"].to_numpy()
+    code = Code(list(zip(listed["token"].to_pylist(), n.tolist(), strict=True)), train_tokens - int(n.sum()), after)
+    logs = np.append(np.log10(n + 1.0), -1.0)
+    bits = min(MOST_BITS, max(LEAST_BITS, n_bytes.bit_length()))
+    parts = rows.where("learn").select("text", "learn").mapInArrow(partial(_counts, code=sc.broadcast(code), bits=bits), "chunk int, shift int, slots binary, counts binary")
     n_chunks = PREDICTORS * max(1, (2 << bits) // CHUNK)
     summed = parts.repartition(min(n_chunks, 64), "chunk").mapInArrow(_summed, "chunk int, odds binary")
     odds = [np.zeros(1 << bits, np.int8) for _ in range(PREDICTORS)]
@@ -488,10 +495,10 @@ def score(docs: DataFrame, folds: int = 7, left_out: int = 2) -> DataFrame:
         part = np.frombuffer(got, np.int8)
         room = odds[k][at * CHUNK // 2 : (at + 1) * CHUNK // 2]
         room[:] = part[: len(room)]
-    model = Model(trees, bits, odds)
+    model = Model(code, bits, odds)
     ids = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "learn")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    run = partial(_score, model=sc.broadcast(model), frequent=sc.broadcast(frequent), log_all=log_all)
+    run = partial(_score, model=sc.broadcast(model), logs=sc.broadcast(logs), log_all=log_all)
     made = ids.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, hits long, sums double, nats double, n_bytes long, rare array<binary>, costs array<double>")
     held = stage(made, "lm-rows")
     rare = held.select("row", F.explode(F.arrays_zip("rare", "costs")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.costs").alias("cost"))

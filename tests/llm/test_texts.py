@@ -35,58 +35,85 @@ def test_rare_tokens_take_the_join(spark, monkeypatch):
     assert few == {r["doc_id"]: (r["n_known"], round(r["base_score"], 9)) for r in scoring.score(docs).collect()}
 
 
-def model(seed=None):
-    trees = scoring.Trees(np.zeros(scoring.GROUPS << 16, np.int64))
+def model(seed=None, frequent=((b"of", 5), (b"the", 9), (b"", 2))):
+    code = scoring.Code(list(frequent), 3, np.zeros(scoring.GROUPS << 16, np.int64))
     odds = np.zeros((scoring.PREDICTORS, 1 << 14), np.int8) if seed is None else np.random.default_rng(seed).integers(-60, 60, (scoring.PREDICTORS, 1 << 14)).astype(np.int8)
-    return scoring.Model(trees, 14, list(odds))
+    return scoring.Model(code, 14, list(odds))
 
 
-def form(text):
-    return scoring.coded(text.lower().split())
+def tokens_of(*items):
+    return [[*t.lower().split(), b""] for t in items]
 
 
-def test_trees_give_every_byte_a_code():
+def test_ways_through_the_trees():
+    steps, length = scoring.huffman([1, 1, 10**6, 5])
+    assert length.tolist() == [3, 3, 1, 2] and abs(sum(0.5 ** length) - 1) < 1e-9 and len(steps) == 9
+    ways = [tuple(x) for x in np.split(steps, np.cumsum(length)[:-1])]
+    assert len({w[0] >> 1 for w in ways}) == 1 and not any(a != b and b[: len(a)] == a for a in ways for b in ways)
     counts = np.zeros(scoring.GROUPS << 16, np.int64)
     tree = 97 * scoring.GROUPS + (98 & scoring.GROUPS - 1)
     counts[tree * 256 + 99] = 10**9
-    trees = scoring.Trees(counts)
+    code = scoring.Code([(b"of", 5)], 1, counts)
     for t in (tree, 0):
-        assert abs(sum(0.5 ** int(trees.length[t * 256 + s]) for s in range(256)) - 1) < 1e-9
-    assert trees.length[tree * 256 + 99] == 1
+        at = code.bytes_at + code.trees[t] * 256
+        assert abs(sum(0.5 ** code.length[at : at + 256]) - 1) < 1e-9
+    assert code.length[code.bytes_at + code.trees[tree] * 256 + 99] == 1
 
 
-def test_probabilities_of_what_may_follow_add_up_to_one():
+def test_probabilities_of_what_may_follow_add_up_to_one_at_most():
     m = model(3)
-    for before in (b"", b"ab", b"some words an"):
-        total = lambda body: m.costs([scoring.Part(body)])[0].sum() if body else 0.0
-        assert abs(sum(np.exp(total(before) - total(before + bytes([x]))) for x in range(256)) - 1) < 1e-4
+    for before in ([], [b"the", b"zz"]):
+        cost = lambda t: m.costs(scoring.Texts([[*before, t]], m.code), 0, 1)[-1]  # noqa: E731, B023
+        whole = sum(np.exp(-cost(t)) for t in m.code.number)
+        spelled = sum(np.exp(-cost(bytes([x]))) for x in range(256) if bytes([x]) not in m.code.number)
+        assert 0 < spelled and whole + spelled < 1 + 1e-4
 
 
 def test_score_is_of_the_text_alone():
     m = model(4)
-    items = [form(t) for t in (b"some words here", b"", b"other words " * 900, b"x", b"a long text of words " * 20_000)]
-    alone = np.concatenate([m.token_costs([t]) for t in items])
-    assert np.allclose(m.token_costs(items), alone, rtol=1e-3, atol=1e-3)
+    items = [b"some words here", b"", b"other words " * 900, b"x", b"a long text of words " * 20_000]
+    alone = np.concatenate([m.token_costs(scoring.Texts(tokens_of(t), m.code)) for t in items])
+    assert np.allclose(m.token_costs(scoring.Texts(tokens_of(*items), m.code)), alone, rtol=1e-3, atol=1e-3)
 
 
-def test_parts_see_what_stands_before_them():
+def test_stretches_of_a_text_see_what_stands_before_them():
     rng = np.random.default_rng(5)
-    text = form(b" ".join(bytes(rng.integers(97, 100, int(n))) for n in rng.integers(1, 12, 600)) + b" " + b"q" * 300 + b" of")
-    trees = model().trees
-    whole = scoring.decisions([scoring.Part(text)], trees, 14)
-    for most in (40, 100, 1000):
-        parts = scoring.parts_of(text, most)
-        assert b"".join(p.body for p in parts) == text and len(parts) > 1
-        cut = [scoring.decisions([p], trees, 14) for p in parts]
-        assert all((np.concatenate([c.slots[k] for c in cut]) == whole.slots[k]).all() for k in range(scoring.PREDICTORS))
+    text = b" ".join(bytes(rng.integers(97, 100, int(n))) for n in rng.integers(1, 12, 600)) + b" the " + b"q" * 300 + b" of"
+    m = model(5)
+    some = scoring.Texts(tokens_of(text), m.code)
+    n = len(some.id)
+    whole = some.units(0, n)
+    for cut in (1, 57, 300, n - 1):
+        two = [some.units(0, cut), some.units(cut, n)]
+        key = lambda u, shift=0: sorted(zip((u.token + shift).tolist(), u.way.tolist(), *[h.tolist() for h in u.hashes], u.gate.tolist(), strict=True))
+        assert key(whole) == sorted(key(two[0]) + key(two[1], cut))
 
 
 def test_weights_learn_within_a_document():
     m = model(6)
-    short, long = (m.token_costs([form(b"aaaa bb " * n)]).sum() / n for n in (100, 20_000))
+    short, long = (m.token_costs(scoring.Texts(tokens_of(b"aaaa bb " * n), m.code)).sum() / n for n in (100, 20_000))
     assert long < 0.9 * short
 
 
+def test_shares_are_those_of_an_online_mixture():
+    rng = np.random.default_rng(2)
+    value, cost = np.where(rng.random(300) < 0.3, -1.0, rng.random(300) * 3), rng.random(300) * 20
+    size = np.array([1, 250, 49])
+    nats, odds = scoring.mixture(value, cost, size, 5.0)
+    at = 0
+    for n in size:
+        held, done, share = scoring.SHARE * scoring.TRUST, 0, 0.0
+        for k in range(n):
+            if k >= done:
+                share = held / (scoring.TRUST + done)
+                done += max(scoring.TOKENS, done // scoring.LATER)
+            told = share * 10 ** (value[at + k] - 5.0) if value[at + k] >= 0 else 0.0
+            p = told + (1 - share) * np.exp(-cost[at + k])
+            assert abs(nats[at + k] - np.log(p)) < 1e-9 and abs(odds[at + k] - np.log(share / (1 - share))) < 1e-9
+            held += told / p
+        at += n
+
+
 def test_model_beats_counts_on_held_out_texts(spark):
     rows = scoring.op1_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum"}).first().asDict()
     assert rows["sum(score)"] > rows["sum(base_score)"]
