@@ -55,6 +55,7 @@ ERRORS = [
     PARAM_ENTITY_REF, UNDEFINED_ENTITY, RECURSIVE_ENTITY, ASYNC_ENTITY, BAD_CHAR_REF, BINARY_ENTITY_REF, ATTRIBUTE_EXTERNAL_REF,
     MISPLACED_XML_PI, UNKNOWN_ENCODING, INCORRECT_ENCODING, UNCLOSED_CDATA, EXTERNAL_ENTITY_HANDLING, NOT_STANDALONE,
 ) = range(2, 23)
+UNEXPECTED_STATE, CANT_CHANGE_FEATURE = 23, 26
 UNBOUND_PREFIX, UNDECLARING_PREFIX, INCOMPLETE_PE, XML_DECL, TEXT_DECL, PUBLIC_ID = range(27, 33)
 SUSPENDED, NOT_SUSPENDED, ABORTED, FINISHED, SUSPEND_PE, RESERVED_XML, RESERVED_XMLNS, RESERVED_URI, INVALID_ARGUMENT, NO_BUFFER, AMPLIFICATION, NOT_STARTED = range(33, 45)
 

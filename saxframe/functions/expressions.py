@@ -170,8 +170,11 @@ def error_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(C.ERRORS)), "error_code int, error string")
 
 
-#: Optional abilities, and whether this engine has them.
-FEATURES = [("size of a character", 1), ("namespaces", 1), ("dtd", 1), ("context bytes", 0), ("amplification limit", 1), ("general entities", 1)]
+#: Optional abilities, in the order of the published list, with their values: 0 is what this engine does without.
+FEATURES = [
+    ("unicode", 0), ("dtd", 1), ("context bytes", 0), ("min size", 0), ("size of a character", 1), ("size of an error text character", 1), ("namespaces", 1), ("large size", 1), ("attribute info", 0),
+    ("amplification limit: factor", int(C.MAX_AMPLIFICATION)), ("amplification limit: bytes", C.ACTIVATION_BYTES), ("general entities", 1), ("allocation limit: factor", 0), ("allocation limit: bytes", 0), ("end", 0),
+]
 
 
 def feature_table(spark: SparkSession) -> DataFrame:

@@ -23,6 +23,10 @@ def _codes(content: pd.Series) -> pd.Series:
     return content.map(lambda c: parse(bytes(c or b"")).code).astype("int32")
 
 
+def _well(content: pd.Series) -> pd.Series:
+    return _codes(content) == 0
+
+
 def _said(content: pd.Series) -> pd.Series:
     return content.map(lambda c: "".join(e[2] for e in parse(bytes(c or b"")).events if e[0] == "character_data"))
 
@@ -32,5 +36,6 @@ def register(spark: SparkSession) -> None:
     ship(spark)
     spark.udtf.register("xml_events", F.udtf(XmlEvents, returnType="seq int, event_type string, name string, text string, attrs map<string, string>, depth int, line int, col int"))
     spark.udf.register("xml_error", F.pandas_udf(_codes, "int"))
+    spark.udf.register("xml_is_well_formed", F.pandas_udf(_well, "boolean"))
     spark.udf.register("xml_text", F.pandas_udf(_said, "string"))
     spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW xml_errors AS SELECT posexplode(array({', '.join(repr(e) if chr(39) not in e else chr(34) + e + chr(34) for e in ERRORS)})) AS (error_code, error)")

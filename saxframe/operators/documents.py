@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,13 +93,31 @@ def verdict(machine: Machine) -> dict:
 _verdict_types = {k: pa.int32() if k in ("status", "error_code", "entity_depth") else pa.string() if k == "error" else pa.int64() for k in ("status", "error_code", "error", "line", "col", "byte_index", "n_events", "direct_bytes", "indirect_bytes", "entities_opened", "entity_depth")}
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None, types: frozenset | None, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of about so many bytes of content: the events of a part are one array."""
     for batch in batches:
+        held = batch["content"]
+        size = np.cumsum([0 if v is None else v for v in pa.compute.binary_length(held).to_pylist()]) if batch.num_rows else np.zeros(0)
+        at = 0
+        while True:
+            before = size[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(size, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+            if at >= batch.num_rows:
+                break
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None, types: frozenset | None, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
         rows, seqs, ends, verdicts = [], [], [0], []
         codes = batch[per_row].to_pylist() if per_row else [None] * batch.num_rows
         for content, encoding in zip(batch["content"].to_pylist(), codes, strict=True):
             machine = Machine(options if encoding is None else Options(**{**options.__dict__, "encoding": encoding}))
-            machine.feed(content or b"", True)
+            try:
+                machine.feed(content or b"", True)
+            except Exception:  # one document must not end the job of all
+                machine.code = C.UNEXPECTED_STATE
             found = machine.take()
             if types is None:
                 rows += found
@@ -145,14 +165,26 @@ def doc_status(parsed: DataFrame) -> DataFrame:
     return parsed.drop("events")
 
 
-def handlers(parsed: DataFrame, registered: list[str], expand: bool = True) -> DataFrame:
+def parse_for(docs: DataFrame, registered: list[str], options: Options | None = None, **more) -> DataFrame:
+    """parse_documents() as these handlers ask for it: "default" gets references to internal entities as they are
+    written, "default_expand" and no default handler at all get their replacement text."""
+    options = options or Options()
+    if "default" in registered and "default_expand" not in registered:
+        options = replace(options, expand_entities=False)
+    return parse_documents(docs, options, **more)
+
+
+def handlers(parsed: DataFrame, registered: list[str]) -> DataFrame:
     """Events of the registered types as they are; all others, if default or default_expand is registered, as that."""
     fallback = next((k for k in ("default_expand", "default") if k in registered), None)
     rows = events(parsed)
     kept = rows.where(F.col("event_type").isin(*registered))
     if not fallback:
         return kept
-    return rows.withColumn("event_type", F.when(F.col("event_type").isin(*registered), F.col("event_type")).otherwise(F.lit(fallback)))
+    own = F.col("event_type").isin(*registered)
+    reference = ~own & (F.col("event_type") == "skipped_entity") & F.col("text").isNull()
+    said = F.when(reference, F.concat(F.when(F.col("decl.is_param"), "%").otherwise("&"), "name", F.lit(";"))).otherwise(F.col("text"))
+    return rows.withColumn("text", said).withColumn("event_type", F.when(own, F.col("event_type")).otherwise(F.lit(fallback)))
 
 
 def with_raw(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -14,6 +14,12 @@ def tokens(docs: DataFrame, doc_id: str | Column = "doc_id", text: str | Column
     return docs.select(doc_id.alias("doc_id"), F.posexplode(F.regexp_extract_all(text, F.lit(X.CONTENT_RE), 1)).alias("seq", "raw")).select("doc_id", "seq", X.token_kind("raw").alias("kind"), "raw")
 
 
+def references(found: DataFrame) -> DataFrame:
+    """The references in tokens() of text and tags: doc_id, seq, n (from 0), kind ("ref", "charref") and raw."""
+    each = found.where(F.col("kind").isin("text", "start", "empty")).select("doc_id", "seq", F.posexplode(F.regexp_extract_all("raw", F.lit(X.REFERENCE_RE), 1)).alias("n", "raw"))
+    return each.select("doc_id", "seq", "n", F.when(F.col("raw").startswith("&#"), "charref").otherwise("ref").alias("kind"), "raw")
+
+
 def token_counts(docs: DataFrame, text: str | Column = "text") -> DataFrame:
     """Tokens by kind, counted as they are cut: partial sums meet in one small exchange."""
     text = F.col(text) if isinstance(text, str) else text
@@ -87,12 +93,16 @@ def before_error(found: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def paths(found: DataFrame) -> DataFrame:
-    """elements() or element events (doc_id, seq, depth, name) with path, the names from the root: a running array."""
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    # the last name at each depth up to one's own, kept as a map from depth to name in one pass
-    held = F.collect_list(F.struct("depth", "name")).over(order)
-    path = F.aggregate(held, F.expr("cast(array() as array<string>)"), lambda acc, x: F.concat(F.slice(acc, 1, x["depth"] - 1), F.array(x["name"])))
-    return found.withColumn("path", F.concat(F.lit("/"), F.array_join(path, "/")))
+    """elements() or element events (doc_id, seq, depth, name) with path, the names from the root.
+
+    Each element asks, under every depth above its own, for the last name there: as many rows as a
+    path has names, and no list that grows with the document.
+    """
+    asked = found.select("doc_id", "seq", "depth", "name", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("k"))
+    before = Window.partitionBy("doc_id", "k").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    last = asked.select("doc_id", "seq", "k", F.last(F.when(F.col("k") == F.col("depth"), F.col("name")), ignorenulls=True).over(before).alias("n"))
+    whole = last.groupBy("doc_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda s: s["n"]).alias("names"))
+    return found.join(whole, ["doc_id", "seq"]).withColumn("path", F.concat(F.lit("/"), F.array_join("names", "/"))).drop("names")
 
 
 def amplification(frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import codecs
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from saxframe.functions import constants as C
 from saxframe.functions.names import name_more, name_start
@@ -25,6 +25,7 @@ _attribute = re.compile(f"{S}+({NAME}){S}*={S}*(\"[^<\"]*\"|'[^<']*')")
 _end = re.compile(f"</({NAME}){S}*>")
 _ref = re.compile(f"&(?:#x([0-9a-fA-F]+)|#([0-9]+)|({NAME}));")
 _pi = re.compile(f"<\\?({NAME})(?:{S}+(.*?))?\\?>", re.S)
+_half_reference = re.compile(f"&(?:#x[0-9a-fA-F]*|#[0-9]*|{NAME})?")
 _run = re.compile("[^<&]+")
 # What most of a document is made of: tags whose values need no normalising, and text without references.
 _plain = re.compile(f"<({NAME})((?:{S}+{NAME}{S}*={S}*(?:\"[^<\"&\\t\\r\\n]*\"|'[^<'&\\t\\r\\n]*'))*){S}*(/?)>|</({NAME}){S}*>|([^<&\\r]+)")
@@ -36,6 +37,7 @@ _public = re.compile(r"[^ \r\na-zA-Z0-9\-'()+,./:=?;!*#@$_%]")
 _xml_decl = re.compile(f"<\\?xml(?:{S}+version{S}*={S}*(?:\"([a-zA-Z0-9_.:-]+)\"|'([a-zA-Z0-9_.:-]+)'))?(?:{S}+encoding{S}*={S}*(?:\"([A-Za-z][A-Za-z0-9._-]*)\"|'([A-Za-z][A-Za-z0-9._-]*)'))?(?:{S}+standalone{S}*={S}*(?:\"(yes|no)\"|'(yes|no)'))?{S}*\\?>")
 # A whole declaration of the subset: literals and comments may hold what would end it.
 _decl = re.compile("<!(?:[^\"'<>]|\"[^\"]*\"|'[^']*')*>")
+_other = re.compile("<!(?!(?:ENTITY|ATTLIST|ELEMENT|NOTATION)[ \\t\\r\\n])[A-Za-z_:]+[ \\t\\r\\n]")
 _lit = "(\"[^\"]*\"|'[^']*')"
 _external = f"(?:SYSTEM{S}+{_lit}|PUBLIC{S}+{_lit}{S}+{_lit})"
 _doctype = re.compile(f"<!DOCTYPE{S}+({NAME})(?:{S}+{_external})?{S}*([\\[>])")
@@ -82,6 +84,8 @@ class Options:
     #: Events after which a document is stopped: for good, or suspended until resume().
     stop_after: int | None = None
     resumable: bool = False
+    #: Whether a token that goes on beyond the input is tried again only when twice as much has come in.
+    reparse_deferral: bool = True
 
     def __post_init__(self) -> None:
         if self.max_amplification != self.max_amplification or self.max_amplification < 1 and self.max_amplification != 0:
@@ -198,6 +202,16 @@ class Machine:
         self.encoding: str | None = None
         self.safe, self.narrow = 0, False
         self.stopped_at = 0
+        #: input that waits for more of it, its bytes, and how much text was tried in vain
+        self.later: list[bytes] = []
+        self.n_later = self.tried = 0
+        #: replacement texts being read: what was being read before each, from the document itself on
+        self.frames: list[tuple] = []
+        #: where in pieces the text began that no markup has ended yet, None after markup
+        self.run: int | None = None
+        self.leased: bytearray | None = None
+        #: texts of the subset being read: [text, place, open sections]
+        self.subsets: list[list] = []
 
     # -- input ------------------------------------------------------------------------------------
 
@@ -216,6 +230,12 @@ class Machine:
                 if not self._detect(final):
                     return 1
                 data, self.raw = self.raw, b""
+            self.later.append(data)
+            self.n_later += len(data)
+            if not final and self.o.reparse_deferral and len(self.text) - self.pos + self.n_later < 2 * self.tried:
+                return 1
+            data = b"".join(self.later)
+            self.later, self.n_later = [], 0
             self._move(self.pos)
             self.text = self.text[self.pos :] + self.decoder(data, final)
             self.mark -= self.pos
@@ -225,12 +245,58 @@ class Machine:
             self.safe = unsafe.start() if unsafe else len(self.text)
             self.narrow = not self.decoder.convert and (self.text.isascii() if self.decoder.name == "utf-8" else self.decoder.size("\u00e9") == 1)
             self._parse(final)
+            self.tried = 0 if self.pos else len(self.text)
         except Stop as e:
-            self._stop(e.code, self.pos if e.at is None else e.at)
+            self._fail(e)
         if self.code or final:
             self._whole()
         return 0 if self.code else 1
 
+    def _fail(self, e: Stop) -> None:
+        """An error in replacement text counts where the document refers to it."""
+        at = e.at
+        if self.frames:
+            self.text, self.pos, self.mark, *_ = self.frames[0]
+            self.frames, at = [], None
+        self._stop(e.code, self.pos if at is None else at)
+
+    def reset(self) -> None:
+        """Clears everything but the options, for another document."""
+        self.__init__(self.o)
+
+    def stop(self, resumable: bool = False) -> int:
+        """Stops between two feeds: 1 if that can be done, else 0 and .code says why not."""
+        if self.decoder is None and not self.raw and not self.finished:
+            self.code = C.NOT_STARTED
+        elif self.code == C.SUSPENDED and not resumable:
+            self.code = C.ABORTED
+            return 1
+        elif self.code or self.finished:
+            self.code = self.code or C.FINISHED
+        else:
+            self.code = C.SUSPENDED if resumable else C.ABORTED
+            return 1
+        return 0
+
+    def use_foreign_dtd(self, system_id: str) -> int:
+        """0, or the code for a change once input has come in."""
+        if self.decoder is not None or self.raw or self.finished:
+            return C.CANT_CHANGE_FEATURE
+        self.o = replace(self.o, foreign_dtd=system_id)
+        return 0
+
+    def lease(self, size: int) -> bytearray:
+        """A buffer to fill; feed_leased() takes it."""
+        self.leased = bytearray(size)
+        return self.leased
+
+    def feed_leased(self, size: int, final: bool = False) -> int:
+        if self.leased is None or size > len(self.leased):
+            self.code = self.code or C.NO_BUFFER
+            return 0
+        data, self.leased = bytes(self.leased[:size]), None
+        return self.feed(data, final)
+
     def resume(self) -> int:
         """Goes on after stop_after events; the limit counts anew from here."""
         if self.code != C.SUSPENDED:
@@ -240,7 +306,7 @@ class Machine:
         try:
             self._parse(self.finished)
         except Stop as e:
-            self._stop(e.code, self.pos if e.at is None else e.at)
+            self._fail(e)
         if self.code or self.finished:
             self._whole()
         return 0 if self.code else 1
@@ -365,7 +431,7 @@ class Machine:
         if self.phase == "start":
             if not final and len(text) < 6 and "<?xml".startswith(text[:5]):
                 return
-            if text.startswith("<?xml") and (len(text) == 5 or text[5] in " \t\r\n"):
+            if text.startswith("<?xml") and (len(text) == 5 or text[5] in " \t\r\n?"):
                 end = text.find("?>")
                 if end < 0 and not final:
                     return
@@ -375,6 +441,9 @@ class Machine:
             self.phase = "prolog"
         while True:
             before = self.pos
+            if self.frames:
+                self._in_frame()
+                continue
             if self._limit():
                 raise Stop(C.SUSPENDED if self.o.resumable else C.ABORTED)
             if self.phase == "prolog":
@@ -396,7 +465,7 @@ class Machine:
                 raise Stop(C.UNCLOSED_TOKEN if self.pos < len(text) else C.NO_ELEMENTS, None)
             if self.phase in ("start", "prolog") or self.phase == "content":
                 if self.cdata:
-                    raise Stop(C.UNCLOSED_CDATA, len(text))
+                    raise Stop(C.UNCLOSED_CDATA)
                 end = len(text)
                 if text.endswith("\r") and self.stack:
                     end -= 1
@@ -477,7 +546,7 @@ class Machine:
             end = text.find("?>", after)
             if end < 0:
                 return self._wait(final)
-            raise Stop(C.MISPLACED_XML_PI)
+            raise Stop(C.JUNK_AFTER_ROOT if self.phase == "epilog" else C.MISPLACED_XML_PI)
         end = text.find("?>", after)
         if end < 0:
             self._check(text[after:], after)
@@ -508,8 +577,8 @@ class Machine:
         if got or got is None:
             return bool(got)
         if text[at] != "<":
-            bad = _bad.match(text, at)
-            raise Stop(C.INVALID_TOKEN if bad else C.SYNTAX, at)
+            self._junk(at, final, C.SYNTAX)
+            return False
         if text.startswith("<!", at):
             if "<!DOCTYPE".startswith(text[at : at + 9]) and len(text) < at + 9:
                 self._wait(final)
@@ -532,12 +601,39 @@ class Machine:
         self.phase = "content"
 
     def _odd_declaration(self, at: int, final: bool) -> None:
-        m = _decl.match(self.text, at)
-        if not m and not final:
-            return
-        if not m:
+        kind, end = dtd_token(self.text, at, final)
+        if kind == "wait":
             self._wait(final)
-        raise Stop(C.SYNTAX if re.match("<!(?:[A-Za-z]|\\[)", self.text[at : at + 3]) else C.INVALID_TOKEN, at if re.match("<!(?:[A-Za-z]|\\[)", self.text[at : at + 3]) else at + 2)
+        elif kind == "invalid":
+            raise Stop(C.INVALID_TOKEN, end)
+        else:
+            raise Stop(C.SYNTAX, at)
+
+    def _junk(self, at: int, final: bool, code: int) -> None:
+        """What may not stand outside the root: an error of its own kind if it isn't even a token."""
+        kind, end = dtd_token(self.text, at, final)
+        if kind == "wait":
+            if final and not self.decoder.code:
+                raise Stop(C.UNCLOSED_TOKEN, at)
+            self._wait(final)
+        elif kind == "invalid":
+            raise Stop(C.INVALID_TOKEN, end)
+        else:
+            raise Stop(C.PARAM_ENTITY_REF if kind == "pe_ref" and code == C.SYNTAX else code, at)
+
+    def _cut_short(self, at: int) -> None:
+        """The end of the input inside a declaration: the first thing that is no token, or no elements."""
+        text, begin = self.text, at
+        while at < len(text):
+            kind, end = dtd_token(text, at, True)
+            if kind == "wait":
+                raise Stop(C.UNCLOSED_TOKEN, at)
+            if kind == "invalid":
+                raise Stop(C.INVALID_TOKEN, end)
+            if kind in ("instance", "section_open", "section_close") or at > begin and kind in ("declaration", "pi"):
+                raise Stop(C.SYNTAX, at)
+            at = end
+        raise Stop(C.NO_ELEMENTS, len(text))
 
     def _doctype(self, final: bool) -> bool:
         text, at = self.text, self.pos
@@ -545,6 +641,8 @@ class Machine:
         if not m:
             end = _decl.match(text, at) or re.match("<!DOCTYPE(?:[^\"'<>\\[]|\"[^\"]*\"|'[^']*')*\\[", text[at:])
             if not end:
+                if final and not self.decoder.code:
+                    self._cut_short(at)
                 self._wait(final)
                 return False
             raise Stop(C.SYNTAX, at + len("<!DOCTYPE"))
@@ -617,12 +715,24 @@ class Machine:
         if at >= len(text):
             return False
         if text[at] == "]":
+            if text.startswith("]]", at):
+                if text[at + 2 : at + 3] in ("", ">"):
+                    self._junk(at, final, C.SYNTAX)
+                    return False
+                raise Stop(C.SYNTAX, at + 1)
             m = re.compile(f"\\]{S}*>").match(text, at)
             if not m:
-                if _space.fullmatch(text, at + 1) or at + 1 == len(text):
+                gap = _space.match(text, at + 1)
+                after = gap.end() if gap else at + 1
+                if after == len(text):
+                    if final and not self.decoder.code:
+                        raise Stop(C.NO_ELEMENTS, after)
                     self._wait(final)
-                    return False
-                raise Stop(C.SYNTAX, at + 1)
+                elif re.match(f"<\\?xml(?:{S}|\\?)", text[after:]):
+                    raise Stop(C.MISPLACED_XML_PI, after)
+                else:
+                    self._junk(after, final, C.SYNTAX)
+                return False
             self.pos = m.end() - 1
             self._end_doctype()
             self.pos = m.end()
@@ -633,19 +743,32 @@ class Machine:
         if text[at] == "%":
             m = _pe.match(text, at)
             if not m:
-                if not final and ";" not in text[at:]:
-                    return False
-                raise Stop(C.INVALID_TOKEN, at + 1)
+                self._junk(at, final, C.SYNTAX)
+                return False
+            level = len(self.subsets)
             self._reference_pe(m[1])
+            if len(self.subsets) > level:
+                value = self.subsets.pop()[0]
+                self._read_subset(value, external=True)
+                self.open.pop()
             self.pos = m.end()
             return True
         m = _decl.match(text, at)
+        odd = _other.match(text, at)
+        if odd:
+            raise Stop(C.SYNTAX)
         if not m:
             if text[at] != "<":
-                raise Stop(C.SYNTAX if not _bad.match(text, at) else C.INVALID_TOKEN, at)
+                self._junk(at, final, C.SYNTAX)
+                return False
+            if final and not self.decoder.code:
+                self._cut_short(at)
             self._wait(final)
             return False
-        if m[0].startswith("<!["):
+        kind, end = dtd_token(text, at, final)
+        if kind == "invalid":
+            raise Stop(C.INVALID_TOKEN, end)
+        if kind == "section_open":
             raise Stop(C.SYNTAX)
         self._declare(m[0], at, False)
         self.pos = m.end()
@@ -675,8 +798,7 @@ class Machine:
         else:
             self._account(len(value.encode("utf-8", "surrogatepass")))
         self._enter("%" + name)
-        self._read_subset(value, external=True)
-        self.open.pop()
+        self.subsets.append([value, 0, 0])
 
     def _enter(self, name: str) -> None:
         self._move(self.pos) if not self.open else None
@@ -692,9 +814,27 @@ class Machine:
             raise Stop(C.AMPLIFICATION)
 
     def _read_subset(self, text: str, external: bool) -> None:
-        """Declarations of an external subset or of a parameter entity's text; errors count where it is referred to."""
-        at, depth, n = 0, 0, len(text)
-        while at < n:
+        """Declarations of an external subset or of a parameter entity's text; errors count where it is referred to.
+
+        What a reference in it stands for is read next, on a list of texts: no depth of entities is too deep.
+        """
+        floor = len(self.subsets)
+        self.subsets.append([text, 0, 0])
+        while len(self.subsets) > floor:
+            here = self.subsets[-1]
+            at, depth = self._read_some(*here, external)
+            here[1:] = at, depth
+            if self.subsets[-1] is here:
+                if depth:
+                    raise Stop(C.INCOMPLETE_PE)
+                self.subsets.pop()
+                if len(self.subsets) > floor:
+                    self.open.pop()
+
+    def _read_some(self, text: str, at: int, depth: int, external: bool) -> tuple[int, int]:
+        """Declarations up to the end or to a reference that is to be read first."""
+        n, held = len(text), len(self.subsets)
+        while at < n and len(self.subsets) == held:
             m = _space.match(text, at)
             if m:
                 at = m.end()
@@ -741,8 +881,7 @@ class Machine:
                 at = m.end()
             else:
                 raise Stop(C.SYNTAX if text[at] != "<" else C.INCOMPLETE_PE)
-        if depth:
-            raise Stop(C.INCOMPLETE_PE)
+        return at, depth
 
     def _expand_params(self, text: str) -> str:
         """References to internal parameter entities inside a declaration, replaced with a space on both sides."""
@@ -778,8 +917,7 @@ class Machine:
             model = content_model(m[2])
             if model is None:
                 raise Stop(C.PARAM_ENTITY_REF if not external and _pe.search(text) else C.SYNTAX, where(m.start(2)))
-            if self.keep:
-                self.emit("element_decl", m[1], value="".join(m[2].split()))
+            self.emit("element_decl", m[1], value="".join(m[2].split()))
         elif text.startswith("<!NOTATION"):
             m = _notation.fullmatch(text)
             if not m:
@@ -856,7 +994,7 @@ class Machine:
             default = None
             if a[5]:
                 base = m.start(2) + a.start(5)
-                default = self._value(a[5][1:-1], kind, element, name, where(base), default=True)
+                default = self._value(a[5][1:-1], kind, where(base), default=True)
             if self.keep:
                 known = self.attlists.setdefault(element, {})
                 if name not in known:
@@ -907,10 +1045,11 @@ class Machine:
             m = _ref.match(text, at)
             if not m:
                 return self._odd_reference(at, final)
+            self.run = None
+            depth = len(self.frames)
             self._reference(m)
-            self.pos = m.end()
-            if not self.stack and self.rooted and not self.open:
-                self.phase = "epilog"
+            if len(self.frames) == depth:
+                self.pos = m.end()
             return True
         m = _run.match(text, at)
         end = m.end()
@@ -918,7 +1057,8 @@ class Machine:
         if closes >= 0:
             self._check(text[at:closes], at)
             if closes > at:
-                self.emit("character_data", text=lines(text[at:closes]))
+                self._said(text[at:closes])
+            self._unsay()
             raise Stop(C.INVALID_TOKEN, closes + 2)
         if end == len(text) and not final:
             tail = 2 if text.endswith("]]") else 1 if text[-1] in "]\r" else 0
@@ -930,10 +1070,28 @@ class Machine:
             if bad.start() > at:
                 self.emit("character_data", text=lines(text[at : bad.start()]))
             raise Stop(C.INVALID_TOKEN, bad.start())
-        self.emit("character_data", text=lines(text[at:end]))
+        self._said(text[at:end])
         self.pos = end
+        if end < len(text) and text[end] in "<&":
+            self.run = None
         return end < len(text)
 
+    def _said(self, text: str) -> None:
+        if self.run is None or not self.pieces:
+            self.run = len(self.pieces)
+        self.emit("character_data", text=lines(text))
+
+    def _unsay(self) -> None:
+        """Takes back the line of text that an illegal end of a section stands on: it is one token with it."""
+        if self.run is None or not self.pieces:
+            return
+        text = "".join(self.pieces[self.run :])
+        self.pieces[self.run :] = [text[: text.rfind("\n") + 1]]
+        self.run = None
+        if not "".join(self.pieces):
+            self.pieces = []
+            self.events.pop()
+
     def _plain_content(self, final: bool) -> None:
         """Plain tags and text from pos on, in one loop; it leaves what is anything else, and all errors, to the rest."""
         text, stack, out, match = self.text, self.stack, self.events, _plain.match
@@ -1005,8 +1163,8 @@ class Machine:
         stop = end
         if end < 0:
             stop = len(text)
-            if not final:
-                stop -= 2 if text.endswith("]]") else 1 if text[-1:] in ("]", "\r") else 0
+            # brackets may begin the end; at the end of the input they are no text either
+            stop -= 2 if text.endswith("]]") else 1 if text.endswith("]") or text.endswith("\r") else 0
         bad = _bad.search(text, at, stop)
         if bad:
             stop = bad.start()
@@ -1091,14 +1249,23 @@ class Machine:
             raise Stop(C.INVALID_TOKEN, bad.start())
         self._wait(final)
 
-    def _value(self, raw: str, kind: str, element: str, name: str, at: int | None, default: bool = False, inside: bool = False) -> str:
+    def _value(self, raw: str, kind: str, at: int | None, default: bool = False) -> str:
         """A normalised attribute value: white space, character and entity references, collapse of token types."""
         if "&" not in raw and not ("\n" in raw or "\t" in raw or "\r" in raw):
             out = raw
         else:
-            parts = []
-            for m in _piece.finditer(raw):
-                spot = None if at is None else at if default else at + 1 + m.start()
+            parts: list[str] = []
+            # the literal and, inside it, the replacement texts that are being read
+            reading = [_piece.finditer(raw)]
+            while reading:
+                inside = len(reading) > 1
+                m = next(reading[-1], None)
+                if m is None:
+                    reading.pop()
+                    if inside:
+                        self.open.pop()
+                    continue
+                spot = None if at is None or inside else at if default else at + 1 + m.start()
                 if m[5]:
                     parts.append(m[5])
                 elif m[4]:
@@ -1106,24 +1273,27 @@ class Machine:
                 elif m[1] or m[2]:
                     parts.append(self._character(m[1], m[2], spot))
                 elif m[6]:
-                    odd = re.compile(f"&(?:#x[0-9a-fA-F]*|#[0-9]*|{NAME})?").match(raw, m.start())
-                    raise Stop(C.INVALID_TOKEN, None if at is None else at + 1 + odd.end())
+                    odd = _half_reference.match(m.string, m.start())
+                    raise Stop(C.INVALID_TOKEN, None if at is None or inside else at + 1 + odd.end())
+                elif m[3] in C.PREDEFINED:
+                    parts.append(C.PREDEFINED[m[3]])
                 else:
-                    parts.append(self._value_entity(m[3], spot))
+                    text = self._value_entity(m[3], spot, default)
+                    if text is not None:
+                        reading.append(_piece.finditer(text))
             out = "".join(parts)
-        if kind != "CDATA" and not inside:
+        if kind != "CDATA":
             out = " ".join(out.split(" ")).strip(" ") if "  " not in out else " ".join(x for x in out.split(" ") if x)
         return out
 
-    def _value_entity(self, name: str, at: int | None) -> str:
-        if name in C.PREDEFINED:
-            return C.PREDEFINED[name]
+    def _value_entity(self, name: str, at: int | None, default: bool) -> str | None:
+        """The replacement text of an entity in an attribute value, which is then open; None if it is skipped."""
         got = self.entities.get(name)
         if got is None:
             if self.has_pe_refs and self.standalone != 1:
                 self.emit("skipped_entity", name, is_param=False)
-                return ""
-            raise Stop(C.UNDEFINED_ENTITY, at)
+                return None
+            raise Stop(C.UNDEFINED_ENTITY, at if default else None)
         if name in self.open:
             raise Stop(C.RECURSIVE_ENTITY, at)
         value, _, _, note = got
@@ -1135,16 +1305,14 @@ class Machine:
             raise Stop(C.INVALID_TOKEN)
         self._account(len(value.encode("utf-8", "surrogatepass")))
         self._enter(name)
-        out = self._value(value, "CDATA", "", "", None, inside=True)
-        self.open.pop()
-        return out
+        return value
 
     def _open_element(self, name: str, pairs: list[tuple[str, str, int]], empty: bool, size: int) -> None:
         declared = self.attlists.get(name, {})
         attrs, seen = [], set()
         for key, literal, at in pairs:
             kind = declared[key][0] if key in declared else "CDATA"
-            value = self._value(literal[1:-1], kind, name, key, None if self.open else self.text.find(literal[0], at + len(key)))
+            value = self._value(literal[1:-1], kind, None if self.open else self.text.find(literal[0], at + len(key)))
             if key in seen:
                 raise Stop(C.DUPLICATE_ATTRIBUTE, None if self.open else at)
             seen.add(key)
@@ -1297,32 +1465,28 @@ class Machine:
             self._account(len(value.encode("utf-8", "surrogatepass")))
         self._move(self.pos) if not self.open else None
         self._enter(name)
-        self._inside(value)
-        self.open.pop()
-
-    def _inside(self, value: str) -> None:
-        """Replacement text, read as content of its own: what it opens it must close. Errors count at the reference."""
-        saved = (self.text, self.pos, self.cdata)
-        mark = self.mark
-        self.text, self.pos = value, 0
+        # the reference is read: what follows it waits, with the place to report for anything inside
+        self.frames.append((self.text, self.pos, self.mark, m.end(), self.cdata, self.safe))
+        self.text, self.pos, self.mark = value, 0, 0
         self.levels.append(len(self.stack))
-        try:
-            while self.pos < len(self.text):
-                before = self.pos
-                self._content(True)
-                self.phase = "content"
-                if self.pos == before:
-                    break
-            if self.cdata:
-                raise Stop(C.UNCLOSED_CDATA)
-            if len(self.stack) != self.levels[-1]:
-                raise Stop(C.ASYNC_ENTITY)
-        except Stop as e:
-            raise Stop(e.code) from None
-        finally:
-            self.levels.pop()
-            self.text, self.pos, self.cdata = saved
-            self.mark = mark
+
+    def _in_frame(self) -> None:
+        """One token of the replacement text at hand, or its end: what it opens it must close."""
+        if self.pos < len(self.text):
+            before, depth = self.pos, len(self.frames)
+            self._content(True)
+            self.phase = "content"
+            if self.pos > before or len(self.frames) > depth:
+                return
+        if self.cdata:
+            raise Stop(C.UNCLOSED_CDATA)
+        if len(self.stack) != self.levels[-1]:
+            raise Stop(C.ASYNC_ENTITY)
+        self.levels.pop()
+        self.text, _, self.mark, self.pos, self.cdata, self.safe = self.frames.pop()
+        self.open.pop()
+        if not self.stack and self.rooted and not self.open:
+            self.phase = "epilog"
 
     def _epilog(self, final: bool) -> bool:
         self._blank()
@@ -1334,13 +1498,98 @@ class Machine:
             if got is None and final:
                 raise Stop(C.UNCLOSED_TOKEN)
             return bool(got)
-        if text[at] == "<" and at + 1 >= len(text):
-            self._wait(final)
-            return False
-        if text[at] == "<" and not re.match(f"[!/:{name_start()}]", text[at + 1]):
-            raise Stop(C.INVALID_TOKEN, at + 1)
-        bad = _bad.match(text, at)
-        raise Stop(C.INVALID_TOKEN if bad else C.JUNK_AFTER_ROOT, at)
+        self._junk(at, final, C.JUNK_AFTER_ROOT)
+        return False
+
+
+def dtd_token(text: str, at: int, final: bool) -> tuple[str, int]:
+    """(kind, end) of the token of a prolog or declaration at a place: "invalid" with where, "wait" if it may go on."""
+    n, c = len(text), text[at]
+    if c in " \t\r\n":
+        return "space", _space.match(text, at).end()
+    if c in "\"'":
+        end = text.find(c, at + 1)
+        bad = _bad.search(text, at + 1, end if end >= 0 else n)
+        if bad:
+            return "invalid", bad.start()
+        if end < 0:
+            return "wait", n
+        if end + 1 >= n:
+            return ("literal", n) if final else ("wait", n)
+        return ("literal", end + 1) if text[end + 1] in " \t\r\n>%[" else ("invalid", end + 1)
+    if c == "<":
+        if at + 1 >= n:
+            return "wait", n
+        if text[at + 1] == "!":
+            return _declaration_open(text, at, final)
+        if text[at + 1] == "?":
+            end = text.find("?>", at + 2)
+            return ("pi", end + 2) if end >= 0 else ("wait", n)
+        return ("instance", at) if _name.match(text, at + 1) else ("invalid", at + 1)
+    if c == "%":
+        if at + 1 >= n:
+            return "wait", n
+        if text[at + 1] in " \t\r\n%":
+            return "percent", at + 1
+        m = _name.match(text, at + 1)
+        if not m:
+            return "invalid", at + 1
+        if m.end() >= n:
+            return "wait", n
+        return ("pe_ref", m.end() + 1) if text[m.end()] == ";" else ("invalid", m.end())
+    if c == "#":
+        if at + 1 >= n:
+            return "wait", n
+        m = _name.match(text, at + 1)
+        if not m:
+            return "invalid", at + 1
+        return _ended(text, m.end(), final, " \t\r\n)>%|", "pound_name")
+    if c == ")":
+        end = at + 2 if text[at + 1 : at + 2] in ("?", "*", "+") else at + 1
+        return ("close_paren", end) if end > at + 1 else _ended(text, end, final, " \t\r\n>,|)", "close_paren")
+    if c == "]":
+        if text[at : at + 3] == "]]" or not final and text[at : at + 3] == "]":
+            return "wait", n
+        return ("section_close", at + 3) if text.startswith("]]>", at) else ("close_bracket", at + 1)
+    if c in ",|>([":
+        return c, at + 1
+    m = re.compile(NMTOKEN).match(text, at)
+    if not m:
+        return "invalid", at
+    if m.end() < n and text[m.end()] in "?*+" and _name.match(text, at):
+        return "name", m.end() + 1
+    return _ended(text, m.end(), final, " \t\r\n>),|[%", "name")
+
+
+def _ended(text: str, end: int, final: bool, after: str, kind: str) -> tuple[str, int]:
+    """A token that only certain characters may follow."""
+    if end >= len(text):
+        return (kind, end) if final else ("wait", end)
+    return (kind, end) if text[end] in after else ("invalid", end)
+
+
+def _declaration_open(text: str, at: int, final: bool) -> tuple[str, int]:
+    n = len(text)
+    if text.startswith("<!--", at):
+        end = text.find("--", at + 4)
+        bad = _bad.search(text, at + 4, end if end >= 0 else n)
+        if bad:
+            return "invalid", bad.start()
+        if end < 0 or end + 2 >= n:
+            return "wait", n
+        return ("comment", end + 3) if text[end + 2] == ">" else ("invalid", end + 2)
+    if text.startswith("<![", at):
+        return "section_open", at + 3
+    m = re.compile("<!(?:-|[A-Za-z_:][A-Za-z_:]*)?").match(text, at)
+    if m.end() >= n:
+        return "wait", n
+    if m.end() == at + 2 or text[at + 2] == "-":
+        return "invalid", m.end()
+    if text[m.end()] == "%":
+        if m.end() + 1 >= n:
+            return "wait", n
+        return ("declaration", m.end()) if text[m.end() + 1] not in " \t\r\n%" else ("invalid", m.end())
+    return ("declaration", m.end()) if text[m.end()] in " \t\r\n" else ("invalid", m.end())
 
 
 def lines(text: str) -> str:

@@ -66,4 +66,4 @@ def test_expressions(spark):
     ).first()
     assert (r.t, r.l, r.line, r.col) == ("aA€<&none;&#xD800;", "x\ny\nz", 3, 1)
     assert (r.n, r.m, r.p, r.e, r.s, r.err, r.amp, r.v) == (True, False, True, "u l", "u l", "tag mismatch", 2.0, "a b &")
-    assert X.error_table(spark).count() == 45 and X.feature_table(spark).count() == 7
+    assert X.error_table(spark).count() == 45 and X.feature_table(spark).count() == 16
