@@ -108,14 +108,17 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[p
                 break
 
 
-def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None, types: frozenset | None, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str | None, types: frozenset | None, columns: list[str], piece: int | None) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows, seqs, ends, verdicts = [], [], [0], []
         codes = batch[per_row].to_pylist() if per_row else [None] * batch.num_rows
         for content, encoding in zip(batch["content"].to_pylist(), codes, strict=True):
             machine = Machine(options if encoding is None else Options(**{**options.__dict__, "encoding": encoding}))
             try:
-                machine.feed(content or b"", True)
+                content = content or b""
+                for at in range(0, len(content), piece) if piece else ():
+                    machine.feed(content[at : at + piece])
+                machine.feed(b"" if piece else content, True)
             except Exception:  # one document must not end the job of all
                 machine.code = C.UNEXPECTED_STATE
             found = machine.take()
@@ -133,11 +136,12 @@ def _parsed(batches: Iterator[pa.RecordBatch], options: Options, per_row: str |
         yield pa.RecordBatch.from_pydict(out | {"events": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), event_arrays(seqs, rows, columns))})
 
 
-def parse_documents(docs: DataFrame, options: Options | None = None, encoding_column: str | None = None, types: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+def parse_documents(docs: DataFrame, options: Options | None = None, encoding_column: str | None = None, types: list[str] | None = None, columns: list[str] | None = None, piece: int | None = None) -> DataFrame:
     """docs (doc_id, content; further columns are carried along) with the verdict and the events of each document.
 
     types is what handlers are registered for and columns what they look at: other events and columns
-    are not built. n_events and seq count all events.
+    are not built. n_events and seq count all events. piece is how many bytes the machine gets at a time: all, or so many.
+    An exception that a document causes is its verdict (code 23).
 
     Events that come before the first error are delivered. Documents are independent, so nothing is
     shuffled; filter documents before this step, as no predicate passes through it. Store contents of
@@ -150,7 +154,7 @@ def parse_documents(docs: DataFrame, options: Options | None = None, encoding_co
     kept = [f for f in docs.schema.fields if f.name not in ("content", encoding_column)]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     wanted = [c for c in EVENT if columns is None or c in columns]
-    run = partial(_parsed, options=options, per_row=encoding_column, types=None if types is None else frozenset(types), columns=wanted)
+    run = partial(_parsed, options=options, per_row=encoding_column, types=None if types is None else frozenset(types), columns=wanted, piece=piece)
     return docs.mapInArrow(run, f"{ddl}, {parsed_ddl(wanted)}")
 
 

@@ -914,9 +914,9 @@ class Machine:
             m = _element.fullmatch(text)
             if not m:
                 raise Stop(C.PARAM_ENTITY_REF if not external and _pe.search(text) else C.SYNTAX, where(9))
-            model = content_model(m[2])
-            if model is None:
-                raise Stop(C.PARAM_ENTITY_REF if not external and _pe.search(text) else C.SYNTAX, where(m.start(2)))
+            odd: list[int] = []
+            if content_model(m[2], odd) is None:
+                raise Stop(C.PARAM_ENTITY_REF if not external and _pe.search(text) else C.SYNTAX, where(m.start(2) + (odd or [0])[0]))
             self.emit("element_decl", m[1], value="".join(m[2].split()))
         elif text.startswith("<!NOTATION"):
             m = _notation.fullmatch(text)
@@ -1154,6 +1154,8 @@ class Machine:
             if not stack:
                 self.phase = "epilog"
                 break
+        if pos > self.pos:
+            self.run = None
         self.pos = self.mark = pos
         self.line, self.col, self.byte = line, col, byte
 
@@ -1599,8 +1601,13 @@ def lines(text: str) -> str:
 _model = re.compile(f"{S}*(?:(\\()|(\\))([?*+]?)|([,|])|(#PCDATA)|({NAME})([?*+]?)){S}*")
 
 
-def content_model(text: str) -> list[tuple[int, int | None, int, int, int, str | None]] | None:
-    """(node, parent, ordinal, type, quantifier, name) of a content model, breadth below parents; None if it isn't one."""
+def _fail(m: re.Match, odd: list[int] | None) -> None:
+    if odd is not None:
+        odd.append(m.end() - len(m[0].lstrip(" \t\r\n")))
+
+
+def content_model(text: str, odd: list[int] | None = None) -> list[tuple[int, int | None, int, int, int, str | None]] | None:
+    """(node, parent, ordinal, type, quantifier, name) of a content model, breadth below parents; None if it isn't one, and then where in odd."""
     if text in ("EMPTY", "ANY"):
         return [(0, None, 0, C.CONTENT_TYPES[text], 0, None)]
     nodes: list[list] = []
@@ -1615,13 +1622,13 @@ def content_model(text: str) -> list[tuple[int, int | None, int, int, int, str |
         at = m.end()
         if m[1] or m[5] or m[6]:
             if not want or not stack and (nodes or not m[1]):
-                return None
+                return _fail(m, odd)
             parent = stack[-1] if stack else None
             ordinal = children.get(parent, 0)
             children[parent] = ordinal + 1
             if m[5]:
                 if ordinal or len(stack) != 1:
-                    return None
+                    return _fail(m, odd)
                 nodes[parent][3] = C.CONTENT_TYPES["MIXED"]
                 children[parent] = 0
             else:
@@ -1631,19 +1638,19 @@ def content_model(text: str) -> list[tuple[int, int | None, int, int, int, str |
             want = bool(m[1])
         elif m[4]:
             if want or not stack or marks.setdefault(stack[-1], m[4]) != m[4]:
-                return None
+                return _fail(m, odd)
             want = True
             if m[4] == "|" and nodes[stack[-1]][3] == C.CONTENT_TYPES["SEQ"]:
                 nodes[stack[-1]][3] = C.CONTENT_TYPES["CHOICE"]
             elif m[4] == "," and nodes[stack[-1]][3] == C.CONTENT_TYPES["MIXED"]:
-                return None
+                return _fail(m, odd)
         else:
             if want or not stack:
-                return None
+                return _fail(m, odd)
             k = stack.pop()
             nodes[k][4] = C.QUANTIFIERS[m[3] or ""]
             if nodes[k][3] == C.CONTENT_TYPES["MIXED"] and children.get(k, 0) and m[3] != "*":
-                return None
+                return _fail(m, odd)
     return None if stack or want else [tuple(n) for n in nodes]
 
 

@@ -87,7 +87,9 @@ def q_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, regexp_extract(html, '<!DOCTYPE\\s+([A-Za-z]+)', 1) AS name FROM pages")
 def q_doctype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", r"<!DOCTYPE\s+([A-Za-z]+)", 1).alias("name"))
+    """The machine's doctype event of each page, against a regular expression."""
+    parsed = D.parse_documents(from_table(_t(spark, sf_dir, "pages"), "page_id", "html"), types=["start_doctype"], columns=["name"])
+    return parsed.select(F.col("doc_id").cast("long").alias("page_id"), F.element_at("events", 1)["name"].alias("name"))
 
 
 @query(f"SELECT page_id, CAST(sum(length(replace(replace(raw, '&quot;', '\"'), '&amp;', '&'))) AS BIGINT) AS n_chars, CAST(count(*) AS BIGINT) AS n_texts FROM {_TOKENS} WHERE raw NOT LIKE '<%' GROUP BY page_id")
@@ -233,13 +235,12 @@ _rule("q_junk_after_root", lambda: (_text("<c>", _key(), "</c>"), _text("<c>", _
 
 
 @query(
-    """SELECT * FROM (VALUES (0, CAST(NULL AS INT), 0, 6, 0, CAST(NULL AS VARCHAR)), (1, 0, 0, 4, 0, 'a'), (2, 0, 1, 5, 2, NULL), (3, 2, 0, 4, 1, 'b'), (4, 2, 1, 4, 3, 'c'))
+    """SELECT r_regionkey, t.* FROM region, (VALUES (0, CAST(NULL AS INT), 0, 6, 0, CAST(NULL AS VARCHAR)), (1, 0, 0, 4, 0, 'a'), (2, 0, 1, 5, 2, NULL), (3, 2, 0, 4, 1, 'b'), (4, 2, 1, 4, 3, 'c'))
  t(node_id, parent_id, ordinal, "type", quant, name)"""
 )
 def q_content_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _t(spark, sf_dir, "region").limit(1)
     text = _text("<!DOCTYPE r [<!ELEMENT r (a, (b?|c+)*)>]><r/>")
-    return D.content_models(D.parse_documents(from_table(one, "r_regionkey", text))).drop("doc_id", "element")
+    return D.content_models(D.parse_documents(from_table(_t(spark, sf_dir, "region"), "r_regionkey", text))).withColumn("r_regionkey", F.col("doc_id").cast("int")).drop("doc_id", "element")
 
 
 @query("SELECT p_partkey, 'part' AS target, 'size=' || p_size AS data, p_brand || '<&' || p_type AS text FROM part")
@@ -299,12 +300,16 @@ def q_handlers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.handlers(parsed, ["start_element", "default"]).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query("SELECT event_type AS name, CAST(count(*) AS BIGINT) AS n_elements FROM events WHERE user_id % 50 = 0 GROUP BY 1")
+@query("SELECT event_type AS name, CAST(count(*) AS BIGINT) AS n_elements FROM events GROUP BY 1")
 def q_props_to_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' event logs as documents in chunks of 64 bytes, parsed by the streaming operator as they arrive."""
-    log = _t(spark, sf_dir, "events").where("user_id % 50 = 0").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda e: F.concat(F.lit("<"), e["event_type"], F.lit("/>"))), "").alias("x"))
+    log = _t(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "event_type"))), lambda e: F.concat(F.lit("<"), e["event_type"], F.lit("/>"))), "").alias("x"))
     docs = from_table(log, "user_id", _text("<log>", F.col("x"), "</log>"))
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="saxframe-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="saxframe-")
     at = f"{at.rstrip('/')}/chunks-{uuid.uuid4().hex}"
     split_chunks(docs, 64).write.parquet(f"{at}/in")
     stream = parse_stream(spark.readStream.schema("doc_id string, chunk_no int, bytes binary, is_final boolean").parquet(f"{at}/in"))

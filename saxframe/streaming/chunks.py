@@ -18,11 +18,7 @@ OUT = "doc_id string, seq bigint, event_type string, name string, text string, a
 STATE = "machine binary, next int, seq bigint, waiting binary"
 
 
-#: How long a document may wait for its next chunk, and a closed one be remembered.
-TIMEOUT_MS = 3_600_000
-
-
-def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, options: Options, timeout_ms: int) -> Iterator[pd.DataFrame]:
+def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, options: Options, timeout_ms: int | None) -> Iterator[pd.DataFrame]:
     """Chunks are taken in order of their number: one that comes early waits, one that was seen is dropped.
 
     The state of a closed document is its number of chunks alone; when its time is over it goes, and a
@@ -62,20 +58,23 @@ def _advance(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState, optio
             if machine.code or machine.finished:
                 machine, waiting = None, {}
         state.update((pickle.dumps(machine) if machine else b"", expected, seq, pickle.dumps(waiting) if waiting else b""))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
     yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
-def parse_stream(chunks: DataFrame, options: Options | None = None, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+def parse_stream(chunks: DataFrame, options: Options | None = None, timeout_ms: int | None = None) -> DataFrame:
     """Events of documents as their chunks (doc_id, chunk_no, bytes, is_final) arrive; last, a row "verdict" with the error code.
 
     The events are those of the whole document, however it is cut. What goes on beyond a chunk waits
-    in the state, which holds the unread tail, open elements, namespaces and declarations. A document that gets
-    no chunk for so long is closed, with the verdict on what came; a chunk that comes later still begins it anew.
+    in the state, which holds the unread tail, open elements, namespaces and declarations; of a closed document it
+    holds two numbers. With a timeout, a document that gets no chunk for so long is closed, with the verdict on
+    what came, and forgotten; a chunk that comes later still begins it anew. A query with a timeout never ends by
+    itself: Spark runs batches for what may time out, so leave it out with a trigger that takes what is there.
     """
     ship(chunks.sparkSession)
     run = partial(_advance, options=options or Options(), timeout_ms=timeout_ms)
-    return chunks.groupBy("doc_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("doc_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def event_counts(stream: DataFrame) -> DataFrame:
