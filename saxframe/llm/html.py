@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -21,11 +22,13 @@ HIDDEN = 24
 SAMPLE_PAGES, MADE_PAGES = 160, 320
 EPOCHS = 6
 
-_TOKEN = re.compile(r"""<!--(?:.*?)-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SAID = re.compile(r"[^<]+")
+_MARK = re.compile("[>\"']")
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 #: Elements whose content is not text.
-SILENT = frozenset("script style noscript template svg math object iframe canvas audio video select option datalist textarea".split())
+SILENT = frozenset("script style noscript template svg select option datalist textarea".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset(
@@ -57,6 +60,52 @@ class _Open:
             self.parts, self.linked = [], 0
 
 
+class _Scan:
+    """Where tokens of a page end. What is looked for in vain is remembered: broken markup costs no more than whole."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.marks = [m.start() for m in _MARK.finditer(page)]
+        self.last = {c: page.rfind(c) for c in ("\"", "'", ">", "-->", "]]>")}
+        self.dead: set[int] = set()
+
+    def find(self, what: str, at: int) -> int:
+        return self.page.find(what, at) if at <= self.last[what] else -1
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends a tag, -1 if none does; those in quotes don't."""
+        seen = []
+        while True:
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks) or self.marks[k] in self.dead:
+                break
+            mark = self.marks[k]
+            seen.append(mark)
+            if self.page[mark] == ">":
+                return mark
+            close = self.find(self.page[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(seen)
+        return -1
+
+    def next(self, at: int) -> tuple[int, re.Match | None]:
+        """(end, the match of a tag's beginning or None) of the token at a place."""
+        page = self.page
+        if page[at] != "<":
+            return _SAID.match(page, at).end(), None
+        for begin, until in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(begin, at) and (end := self.find(until, at + len(begin))) >= 0:
+                return end + 3, None
+        if page[at + 1 : at + 2] in ("!", "?") and (end := self.find(">", at)) >= 0:
+            return end + 1, None
+        m = _OPEN.match(page, at)
+        if m and (end := self.tag_end(m.end())) >= 0:
+            return end + 1, m
+        return at + 1, None
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order: text with character references decoded and single spaces, and the path of elements above it.
 
@@ -64,16 +113,12 @@ def blocks(page: str) -> list[Block]:
     paragraph ends where a block begins, the content of scripts and the like is skipped to its end tag.
     """
     out, stack, shown = _Open(), [], []
-    at, n = 0, len(page)
+    at, n, scan = 0, len(page), _Scan(page)
     while at < n:
-        m = _TOKEN.match(page, at)
-        if not m:
-            at += 1
-            continue
-        at = m.end()
-        name = m[2]
-        if name is None:
-            raw = m[0]
+        begin = at
+        at, m = scan.next(at)
+        if m is None:
+            raw = page[begin:at]
             if raw[0] != "<" or raw == "<":
                 raw = entities.unescape(raw) if "&" in raw else raw
                 out.parts.append(raw)
@@ -82,7 +127,7 @@ def blocks(page: str) -> list[Block]:
             elif raw.startswith("<![CDATA["):
                 out.parts.append(raw[9:-3])
             continue
-        name = name.lower()
+        name, rest = m[2].lower(), page[m.end() : at - 1]
         if m[1]:
             if name in stack:
                 k = len(stack) - 1 - stack[::-1].index(name)
@@ -90,7 +135,7 @@ def blocks(page: str) -> list[Block]:
                     out.end(tuple(shown))
                 del stack[k:], shown[k:]
             continue
-        if name in SILENT and not m[3].endswith("/"):
+        if name in SILENT and not rest.endswith("/"):
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else n
             out.parts.append(" ")
@@ -108,10 +153,10 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k] in SCOPES:
                     break
-        if name in VOID or m[3].endswith("/") and name not in BLOCK:
+        if name in VOID or rest.endswith("/") and name not in BLOCK:
             continue
         stack.append(name)
-        words = [w for g in _NAMED.findall(m[3]) for w in _PART.findall("".join(g))] if m[3] else []
+        words = [w for g in _NAMED.findall(rest) for w in _PART.findall("".join(g))] if rest else []
         shown.append(".".join([name, *words]).lower())
     out.end(tuple(shown))
     return out.blocks
