@@ -89,19 +89,19 @@ class Items:
         each = np.repeat(self.first[found] + many - np.cumsum(many), many) + np.arange(int(many.sum()))
         pos, item, place = np.repeat(at, many), self.item[each], self.place[each]
         doc = np.searchsorted(start, pos, side="right") - 1
-        diagonal = pos - start[doc] - place + (1 << 20)
+        diagonal = pos - start[doc] - place + (1 << 30)
         step, edits = self.step[item], self.edits[item]
         band = diagonal // step
         # A band reaches edits diagonals into the next one: an alignment within the budget is inside one band.
         lap = (diagonal % step < edits) & (band > 0)
         doc, item, band = (np.concatenate([x, x[lap] - k]) for x, k in ((doc, 0), (item, 0), (band, 1)))
-        width = np.int64(1 << 24)
+        width = np.int64(1 << 32)
         key = (doc * len(self.rows) + item) * width + band
         key, n = np.unique(key, return_counts=True)
         item = key // width % len(self.rows)
         enough = n >= self.least[item]
         key, item = key[enough], item[enough]
-        doc, low = key // width // len(self.rows), key % width * self.step[item] - (1 << 20)
+        doc, low = key // width // len(self.rows), key % width * self.step[item] - (1 << 30)
         out = []
         for d, i, x in zip(doc.tolist(), item.tolist(), low.tolist(), strict=True):
             reach = len(self.units[i]) + int(self.step[i]) + 2 * int(self.edits[i])
@@ -118,8 +118,8 @@ class Items:
             if exact >= 0 and exact % 2 == 0 and exact < 2 * high:
                 found = (0, exact // 2, exact // 2 + len(self.units[i]))
             else:
-                edits, end = align(self.units[i], part, int(self.edits[i]))
-                found = (edits, low, low + end)
+                edits, begin, end = align(self.units[i], part, int(self.edits[i]))
+                found = (edits, low + begin, low + end)
             if found[0] <= self.edits[i]:
                 best[d, name] = min(best.get((d, name), found), found)
         for name, item in self.short:
@@ -130,25 +130,49 @@ class Items:
         return [(d, name, *found) for (d, name), found in best.items()]
 
 
-def align(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int]:
-    """The least edit distance of the item to a substring of the part, and where that ends; above most if it is above most.
+def _banded(item: np.ndarray, part: np.ndarray, below: int, above: int, anchored: bool) -> np.ndarray:
+    """Edit distances of the whole item to what ends at each diagonal (end less item length) from -below to above.
 
-    Rows are the item's characters. A row covers the part's width, which is the band: the part is the
-    item's length and a few dozen characters longer.
+    Only diagonals of the band are filled, a row of them for each character of the item. An alignment
+    begins anywhere in the part, or anchored at its first character.
     """
-    n = len(part)
-    index = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int64)
-    for k, c in enumerate(item, 1):
-        last = row
-        row = np.empty(n + 1, np.int64)
-        row[0] = k
-        np.minimum(last[:-1] + (part != c), last[1:] + 1, out=row[1:])
-        row = np.minimum.accumulate(row - index) + index
-        if k % 16 == 0 and row.min() > most:
-            return most + 1, 0
-    end = int(row.argmin())
-    return int(row[end]), end
+    far = np.int64(1 << 40)
+    t = np.arange(below + above + 1)
+    padded = np.full(len(part) + len(item) + below + above + 2, -1, np.int64)
+    padded[below : below + len(part)] = part
+    start = t - below
+    row = np.where((start >= 0) & (start <= len(part)), start if anchored else 0, far)
+    for k, c in enumerate(item.tolist(), 1):
+        end = start + k
+        down = np.append(row[1:], far) + 1  # a character of the item that the part lacks
+        across = row + (padded[k - 1 : k - 1 + len(t)] != c)
+        across[end <= 0] = far
+        now = np.minimum(down, across)
+        if below >= k:
+            now[below - k] = k  # the part's very beginning
+        now[(end < 0) | (end > len(part))] = far
+        row = np.minimum.accumulate(now - t) + t
+        row[(end < 0) | (end > len(part))] = far
+    return row
+
+
+def align(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int, int]:
+    """The least edit distance of the item to a substring of the part, and where that begins and ends.
+
+    Of equally near ones that which ends first and, of these, the shortest. The band holds every
+    alignment of most edits; where none is that near, the distance is above most and the places mean nothing.
+    """
+    above = max(0, len(part) - len(item)) + most
+    row = _banded(item, part, most, above, False)
+    edits = int(row.min())
+    if edits > most:
+        return most + 1, 0, 0
+    end = int(row.argmin()) - most + len(item)
+    # backwards from there: the shortest beginning that is as near
+    back = part[max(0, end - len(item) - most) : end][::-1]
+    sizes = np.arange(2 * most + 1) - most + len(item)
+    found = _banded(item[::-1], back, most, most, True)
+    return edits, end - int(sizes[np.flatnonzero(found == edits)[0]]), end
 
 
 def _matches(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
