@@ -120,7 +120,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     k1, k2 = row_key("doc_id", "text")
     given = [c for c in docs.columns if c not in ("removed_chunks", "removed_lines")]
-    keyed = docs.select(*given, k1.alias("__k1"), k2.alias("__k2"))
+    keyed = docs.select(F.struct(*[c for c in given if c != "text"]).alias("given"), "doc_id", "text", k1.alias("__k1"), k2.alias("__k2"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = keyed.select("doc_id", F.col("__k1").alias("k1"), F.col("__k2").alias("k2"), "text").where("text IS NOT NULL AND instr(text, '\n') > 0")
     found = stage(slim.mapInArrow(_chunk_rows, f"doc_id {kind}, k1 long, k2 long, n int, start long, end long, d1 long, d2 long"), "line-chunks")
@@ -137,7 +137,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     differ = frozenset((r[0], r[1]) for r in unequal.select("d1", "d2").collect())
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields if f.name not in ("text", "__ranges")) + ", text string, removed_chunks int, removed_lines int"
     out = held.mapInArrow(partial(_without, unequal=differ), ddl)
-    return out.select(*given, "removed_chunks", "removed_lines")
+    return out.select("given.*", "text", "removed_chunks", "removed_lines").select(*given, "removed_chunks", "removed_lines")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ def ranked_weights(weights: tuple[int, ...]) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, text, source; further columns stay) with size, source_size, target and taken.
+    """docs (doc_id, text, source; further columns stay, but for those of the four names) with size, source_size, target and taken.
 
     size is the number of words; a null or empty text has none. taken is the number of words that
     the mix takes of a document, repeats counted: all documents of a source are taken as often as
@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     """
     given = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit(""))).cast("binary"))
-    sized = docs.select(*given, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("__key"))
+    sized = docs.select(F.struct(*given).alias("given"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("__key"))
     slim = sized.select(F.col("source").alias("s"), "size", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int").alias("bucket"))
     buckets = stage(slim.groupBy("s", "bucket").agg(F.sum("size").alias("held")), "mix-buckets")
     by_source = stage(buckets.groupBy(F.col("s").alias("source")).agg(F.sum("held").alias("source_size")), "mix-sources")
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCH
     joined = sized.withColumn("__bucket", F.conv(F.substring("__key", 1, 3), 16, 10).cast("int")).join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     inside = F.sum("size").over(Window.partitionBy("source", "__bucket").orderBy("__key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("__rest") - inside))
-    return joined.select(*given, "size", "source_size", "target", (F.col("__whole") * F.col("size") + extra).alias("taken"))
+    return joined.select("given.*", "size", "source_size", "target", (F.col("__whole") * F.col("size") + extra).alias("taken"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
