@@ -68,6 +68,32 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_keep_one_recall_near_the_bound(spark):
+    """Pairs of shingle similarity 0.8 to 0.9 are caught, pairs below 0.7 are not."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(5000)]
+    rows, near, far = [], [], []
+    for k in range(160):
+        text = list(rng.choice(words, 300))
+        edits = 5 if k < 80 else 16
+        other = list(text)
+        for at in rng.choice(np.arange(5, 295, 6), edits, replace=False):
+            other[at] = "changed"
+        a, b = ({" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for x in (text, other))
+        j = len(a & b) / len(a | b)
+        (near if j >= 0.8 else far if j < 0.7 else []).append(k)
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 80 and sum(2 * k + 1 not in kept for k in near) >= 0.9 * len(near)
+    assert len(far) == 80 and sum(2 * k + 1 in kept for k in far) >= 0.95 * len(far) and all(2 * k in kept for k in range(160))
+
+
+def test_keep_one_of_equal_rows_is_settled(spark):
+    rows = [(1, "same text", "x", n) for n in range(6)]
+    kept = [simhash.keep_one(spark.createDataFrame(r, SCHEMA)).collect() for r in (rows, rows[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
 def test_keep_one_catches_near_copies_only(spark):
     rng = np.random.default_rng(2)
     words = [f"w{k}" for k in range(3000)]

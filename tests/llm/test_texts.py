@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -129,11 +130,26 @@ def alignment(item, text):
     return min(last)
 
 
+def whole_distance(a, b):
+    last = list(range(len(b) + 1))
+    for k, c in enumerate(a, 1):
+        row = [k]
+        for j, d in enumerate(b, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[-1] + 1))
+        last = row
+    return last[-1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=20), st.text(alphabet="abc", max_size=40))
 def test_alignment(item, text):
     a, b = (np.frombuffer(t.encode("utf-16-le"), np.uint16) for t in (item, text))
-    assert decontaminate.align(a, b, 1000)[0] == alignment(item, text)
+    edits, start, end = decontaminate.align(a, b, len(item))
+    assert edits == alignment(item, text) and 0 <= start <= end <= len(text)
+    assert whole_distance(item, text[start:end]) == edits
+    assert all(whole_distance(item, text[k:end]) > edits for k in range(start + 1, end + 1))
+    for most in range(edits):
+        assert decontaminate.align(a, b, most)[0] > most
 
 
 def test_leaks_against_every_alignment(spark):
@@ -179,7 +195,19 @@ def test_page_blocks():
     page = "<!DOCTYPE html><html><head><title>T &amp; U</title><script>var t='</p>';</script></head><body><nav><ul><li><a href='/x'>Menu<li>Two</ul></nav><article><h1> A\n b </h1><p>One <b>two<br>three<p>Four&nbsp;&#53;<!-- no --></article></body>"
     got = [b.text for b in html.blocks(page)]
     assert got == ["T & U", "Menu", "Two", "A b", "One two three", "Four 5"]
-    assert html.blocks("") == [] and html.blocks("<p") != [] or True
+    assert html.blocks("") == [] and [b.text for b in html.blocks("<p")] == ["<p"]
+    assert [b.text for b in html.blocks("<p>E = <math><mi>mc</mi></math> holds</p>")] == ["E = mc holds"]
+
+
+def test_broken_markup_takes_linear_time():
+    def seconds(text, n):
+        began = time.process_time()
+        html.blocks(text * n)
+        return time.process_time() - began
+
+    for text in ("<!-- ", "<a href=\"x", "<a <b ' ", "<![CDATA[ x", "<a '\" <b \"' "):
+        seconds(text, 500)
+        assert seconds(text, 16_000) < 30 * max(0.005, seconds(text, 2000)), text
 
 
 def test_lstm_learns_and_is_batch_free():
