@@ -130,29 +130,31 @@ class Items:
         return [(d, name, *found) for (d, name), found in best.items()]
 
 
-def _banded(item: np.ndarray, part: np.ndarray, below: int, above: int, anchored: bool) -> np.ndarray:
+def _banded(item: np.ndarray, part: np.ndarray, below: int, above: int, anchored: bool, most: int) -> np.ndarray:
     """Edit distances of the whole item to what ends at each diagonal (end less item length) from -below to above.
 
-    Only diagonals of the band are filled, a row of them for each character of the item. An alignment
-    begins anywhere in the part, or anchored at its first character.
+    Only diagonals of the band are filled, a row of them for each character of the item, until none is within most
+    edits. An alignment begins anywhere in the part, or anchored at its first character. Around the part stands what
+    no character equals: to go there costs as much as to leave the item's character out.
     """
-    far = np.int64(1 << 40)
-    t = np.arange(below + above + 1)
-    padded = np.full(len(part) + len(item) + below + above + 2, -1, np.int64)
+    far = 1 << 29
+    t = np.arange(below + above + 1, dtype=np.int32)
+    padded = np.full(len(item) + len(t) + len(part), -1, np.int32)
     padded[below : below + len(part)] = part
-    start = t - below
-    row = np.where((start >= 0) & (start <= len(part)), start if anchored else 0, far)
-    for k, c in enumerate(item.tolist(), 1):
-        end = start + k
-        down = np.append(row[1:], far) + 1  # a character of the item that the part lacks
-        across = row + (padded[k - 1 : k - 1 + len(t)] != c)
-        across[end <= 0] = far
-        now = np.minimum(down, across)
-        if below >= k:
-            now[below - k] = k  # the part's very beginning
-        now[(end < 0) | (end > len(part))] = far
-        row = np.minimum.accumulate(now - t) + t
-        row[(end < 0) | (end > len(part))] = far
+    differs = np.lib.stride_tricks.sliding_window_view(padded, len(t))[: len(item)] != item[:, None]
+    row = np.where(t >= below, t - below, far).astype(np.int32) if anchored else np.zeros(len(t), np.int32)
+    now = np.empty_like(row)
+    for k in range(len(item)):
+        np.add(row[1:], 1, out=now[:-1])  # a character of the item that the part lacks
+        now[-1] = far
+        row += differs[k]
+        np.minimum(now, row, out=now)
+        now -= t
+        np.minimum.accumulate(now, out=now)
+        now += t
+        row, now = now, row
+        if k % 8 == 7 and row.min() > most:
+            break
     return row
 
 
@@ -163,16 +165,16 @@ def align(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int, int]
     alignment of most edits; where none is that near, the distance is above most and the places mean nothing.
     """
     above = max(0, len(part) - len(item)) + most
-    row = _banded(item, part, most, above, False)
+    row = _banded(item, part, most, above, False, most)
     edits = int(row.min())
     if edits > most:
         return most + 1, 0, 0
-    end = int(row.argmin()) - most + len(item)
+    end = min(len(part), max(0, int(row.argmin()) - most + len(item)))
     # backwards from there: the shortest beginning that is as near
     back = part[max(0, end - len(item) - most) : end][::-1]
     sizes = np.arange(2 * most + 1) - most + len(item)
-    found = _banded(item[::-1], back, most, most, True)
-    return edits, end - int(sizes[np.flatnonzero(found == edits)[0]]), end
+    found = _banded(item[::-1], back, most, most, True, most)
+    return edits, end - min(len(back), max(0, int(sizes[np.flatnonzero(found == edits)[0]]))), end
 
 
 def _matches(batches: Iterator[pa.RecordBatch], items) -> Iterator[pa.RecordBatch]:
