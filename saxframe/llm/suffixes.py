@@ -4,7 +4,8 @@ Every window of LENGTH bytes owns one of its short substrings, the one of the le
 anchor; equal windows have equal anchors. So repeats are looked for among the windows of one anchor:
 anchors that occur once need no text at all, equal stretches are counted by digest, and of the others
 one stretch of each kind goes to a shard, where a suffix array and its common prefixes tell which
-windows repeat.
+windows repeat. An anchor of very many kinds is dealt anew by more of the text around it, so that no
+shard grows with the input.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ GRAM = 32
 PIECE = 1 << 19
 #: Bytes of a shard, about, after which the next anchor begins a new one.
 SHARD = 1 << 20
+#: Kinds of stretches, of under 800 bytes each, that one anchor brings to a shard at most.
+KINDS = 1024
+#: Those of an anchor with more are cut into windows with the anchor within so many places of one another, then of one.
+WIDTHS = (24, 1)
 SEPARATOR = 0xFF
 
 
@@ -254,6 +259,9 @@ def anchors(items: list[bytes], length: int, gram: int) -> Iterator[tuple[int, i
 
 
 _MASK = (1 << 64) - 1
+#: Of a stretch: its windows' first and last start, the anchor's place in it, the anchor's hash and the stretch's digest.
+MARK = ("lo", "hi", "at", "h", "d1", "d2")
+MARK_DDL = "k1 long, k2 long, " + ", ".join(f"{c} long" for c in MARK)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -262,23 +270,48 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         rows: list[tuple] = []
         for k, lo, hi, place, h in anchors(items, length, gram):
             d = xxhash.xxh128_intdigest(items[k][lo : hi + length], place - lo)
-            rows.append((k, lo, hi, h, (d >> 64) - (1 << 63), (d & _MASK) - (1 << 63)))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            rows.append((k, lo, hi, place - lo, h, (d >> 64) - (1 << 63), (d & _MASK) - (1 << 63)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
         row = pa.array(cols[0], pa.int32())
         out = {c: batch[c].take(row) for c in ("k1", "k2")}
-        yield pa.RecordBatch.from_pydict(out | {c: pa.array(v, pa.int64()) for c, v in zip(("lo", "hi", "h", "d1", "d2"), cols[1:], strict=True)})
+        yield pa.RecordBatch.from_pydict(out | {c: pa.array(v, pa.int64()) for c, v in zip(MARK, cols[1:], strict=True)})
+
+
+def pieces(text: bytes, lo: int, hi: int, place: int, length: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first window start, last window start, key, digest) of the parts of a stretch of windows lo to hi.
+
+    A part's windows begin width * k to width * (k + 1) - 1 bytes before the anchor. The key is of the bytes that all
+    such windows hold: equal windows lie in parts of one key, as the anchor stands at the same place in both.
+    """
+    for k in range((place - hi) // width, (place - lo) // width + 1):
+        a, b = max(lo, place - width * (k + 1) + 1), min(hi, place - width * k)
+        core = text[place - width * k : place - width * (k + 1) + 1 + length]
+        yield a, b, xxhash.xxh64_intdigest(core, k) - (1 << 63), xxhash.xxh128_intdigest(text[a : b + length], place - a)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], length: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The parts of stretches, as marks in a body that the stretch's digest names."""
+    for batch in slices(batches, "body"):
+        rows: list[tuple] = []
+        for k, (body, at, owned) in enumerate(zip(texts(batch["body"]), batch["at"].to_pylist(), batch["owned"].to_pylist(), strict=True)):
+            for a, b, key, d in pieces(body, 0, owned - 1, at, length, width):
+                rows.append((k, a, b, at - a, key, (d >> 64) - (1 << 63), (d & _MASK) - (1 << 63)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+        row = pa.array(cols[0], pa.int32())
+        out = {new: batch[c].take(row) for new, c in (("k1", "d1"), ("k2", "d2"), ("of", "h"))}
+        yield pa.RecordBatch.from_pydict(out | {c: pa.array(v, pa.int64()) for c, v in zip(MARK, cols[1:], strict=True)})
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        cols: dict[str, list] = {c: [] for c in ("h", "d1", "d2", "owned", "body")}
+        cols: dict[str, list] = {c: [] for c in ("h", "d1", "d2", "at", "heavy", "owned", "body")}
         for text, marks in zip(texts(batch["text"]), batch["marks"].to_pylist(), strict=True):
             for m in marks:
-                for c in ("h", "d1", "d2"):
+                for c in ("h", "d1", "d2", "at", "heavy"):
                     cols[c].append(m[c])
                 cols["owned"].append(m["hi"] - m["lo"] + 1)
                 cols["body"].append(text[m["lo"] : m["hi"] + length])
-        yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.binary() if c == "body" else pa.int64()) for c, v in cols.items()})
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, {"body": pa.binary(), "heavy": pa.bool_()}.get(c, pa.int64())) for c, v in cols.items()})
 
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -338,7 +371,38 @@ def _kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pydict(out | ({"kept": pa.array(left, pa.binary())} if with_text else {}))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+def dealt(members: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """One row (k1, k2 and MARK's columns, c its number) per kind of stretch; and those of anchors with several kinds, heavy if with more than most (None: no bound)."""
+    kinds = stage(members.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo", "hi", "at")).alias("s")).select("s.*", "h", "d1", "d2", "c"), "suffix-kinds")
+    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.lit(False).alias("heavy") if most is None else (F.col("n") > most).alias("heavy"))
+    return kinds, kinds.join(several, "h")
+
+
+def repeats(rows: DataFrame, members: DataFrame, length: int, most: int, widths: tuple[int, ...], n: int) -> DataFrame:
+    """(h, d1, d2, from, to): in stretches of this kind, bytes from to to are in repeated windows; a null to is the end.
+
+    members are marks in rows (k1, k2, text).
+    """
+    kinds, shown = dealt(members, most if widths else None)
+    # a stretch that occurs twice is repeated throughout; among several of one anchor, the array decides
+    found = kinds.where("c > 1").select("h", "d1", "d2", F.lit(0).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))
+    per_row = shown.groupBy("k1", "k2").agg(F.collect_list(F.struct(*MARK, "heavy")).alias("marks"))
+    cut = rows.join(per_row, ["k1", "k2"]).select("text", "marks").mapInArrow(partial(_stretches, length=length), "h long, d1 long, d2 long, at long, heavy boolean, owned long, body binary")
+    held = stage(cut, "suffix-stretches") if widths else cut
+    light = held.where("NOT heavy").select("h", "d1", "d2", "owned", "body").repartition(n, "h").sortWithinPartitions("h", "d1", "d2")
+    found = found.unionByName(light.mapInArrow(partial(_shards, length=length), "h long, d1 long, d2 long, from long, to long"))
+    if widths and not (heavy := held.where("heavy").dropDuplicates(["h", "d1", "d2"])).isEmpty():
+        parts = stage(heavy.mapInArrow(partial(_pieces, length=length, width=widths[0]), "k1 long, k2 long, of long, " + ", ".join(f"{c} long" for c in MARK)), "suffix-pieces")
+        inner = repeats(heavy.select(F.col("d1").alias("k1"), F.col("d2").alias("k2"), F.col("body").alias("text")), parts.drop("of"), length, most, widths[1:], n)
+        back = parts.join(inner, ["h", "d1", "d2"]).select(F.col("of").alias("h"), F.col("k1").alias("d1"), F.col("k2").alias("d2"), (F.col("lo") + F.col("from")).alias("from"), (F.col("lo") + F.coalesce("to", F.col("hi") - F.col("lo") + F.lit(length))).alias("to"))
+        found = found.unionByName(back)
+    out = stage(found, "suffix-found")
+    release(kinds)
+    release(held)
+    return out
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, kinds: int = KINDS, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """One row per row of docs (doc_id, text; others are not read): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed if a string of length bytes covers it that also starts at any other place of the
@@ -349,24 +413,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with
     """
     keyed = docs.select("doc_id", F.col("text").cast("string").alias("text"), *row_key("doc_id", "text"))
     long_enough = keyed.where(F.octet_length("text") >= length).select("k1", "k2", "text")
-    marks = stage(long_enough.mapInArrow(partial(_anchor_rows, length=length, gram=gram), "k1 long, k2 long, lo long, hi long, h long, d1 long, d2 long"), "suffix-anchors")
+    marks = stage(long_enough.mapInArrow(partial(_anchor_rows, length=length, gram=gram), MARK_DDL), "suffix-anchors")
     # Written first, so that the join has exchanges of its own and Spark can split a frequent anchor's partition.
     more = stage(marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "suffix-anchors-again")
     members = stage(marks.join(more, "h"), "suffix-members")
     release(marks)
-    kinds = stage(members.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k1", "k2", "lo")).alias("shown")), "suffix-kinds")
-    several = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    # a stretch that occurs twice is repeated throughout; among several of one anchor, the array decides
-    whole = kinds.where("c > 1").select("h", "d1", "d2", F.lit(0).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))
-    shown = kinds.join(several, "h").select("h", "d1", "d2", F.col("shown.k1").alias("k1"), F.col("shown.k2").alias("k2"), F.col("shown.lo").alias("lo"))
-    marked = members.join(shown, ["h", "d1", "d2", "k1", "k2", "lo"])
-    per_row = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "d1", "d2", "lo", "hi")).alias("marks"))
-    bodies = long_enough.join(per_row, ["k1", "k2"])
-    cut = bodies.select("text", "marks").mapInArrow(partial(_stretches, length=length), "h long, d1 long, d2 long, owned long, body binary")
     n = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut.repartition(n, "h").sortWithinPartitions("h", "d1", "d2")
-    parts = dealt.mapInArrow(partial(_shards, length=length), "h long, d1 long, d2 long, from long, to long")
-    found = stage(whole.unionByName(parts), "suffix-found")
+    found = repeats(long_enough, members, length, kinds, widths, n)
     ranges = members.join(found, ["h", "d1", "d2"]).select("k1", "k2", F.struct((F.col("lo") + F.col("from")).alias("from"), F.coalesce(F.col("lo") + F.col("to"), F.col("hi") + F.lit(length)).alias("to")).alias("r"))
     per_row = ranges.groupBy("k1", "k2").agg(F.collect_set("r").alias("ranges"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -147,6 +147,28 @@ def test_suffix_dedup_against_all_windows(spark, length):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_suffix_dedup_deals_a_frequent_anchor_anew(spark, monkeypatch):
+    """However many kinds of surroundings an anchor has, few of them come to one shard, and all repeats are found."""
+    rng, length, most = np.random.default_rng(5), 100, 4
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    line = " ".join(word() for _ in range(13))  # 90 bytes: windows hold it whole, none is made of it
+    items = [" ".join([word(), *["of"] * int(rng.integers(20, 60)), *[word()] * int(rng.integers(1, 30))]) for _ in range(60)]
+    items += [f"{word()} {word()} {line} {w} {w} {word()}" for w in [word() for _ in range(20)] for _ in range(2)] + [f"{line} {line}", *items[:3]]
+    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
+    seen = []
+
+    def spied(*given, f=suffixes.dealt):
+        kinds, shown = f(*given)
+        seen.append([df.groupBy("h").count().agg({"count": "max"}).first()[0] or 0 for df in (shown.where("NOT heavy"), kinds)])
+        return kinds, shown
+
+    monkeypatch.setattr(suffixes, "dealt", spied)
+    got = {r["doc_id"]: r["kept"] for r in suffixes.remove_repeats(docs, length, with_text=True, kinds=most).collect()}
+    assert max(shown for shown, _ in seen) <= most < seen[0][1] and len(seen) == 3
+    raw = [t.encode() for t in items]
+    assert got == {d: bytes(x for x, g in zip(b, gone, strict=True) if not g) for d, (b, gone) in enumerate(zip(raw, brute_removed(raw, length), strict=True))}
+
+
 def test_lines_against_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(None, None), (9001, ""), (9002, "one\ntwo\nthree"), (9003, "one\ntwo\nthree"), (9004, "single"), (9005, "single")], "doc_id long, text string")
