@@ -1,4 +1,5 @@
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
@@ -308,3 +309,36 @@ def test_passages_among_many_of_common_wording(spark):
     got = passages.near_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(k, k ^ 1) for k in range(60)}
     assert all(r["class_id"] == r["doc_id"] & ~1 and (r["start_word"], r["end_word"]) == (60, 119) for r in got)
+
+
+def test_passages_do_not_depend_on_the_tiles(spark, monkeypatch):
+    """Tiles in many rounds find what one tile finds, and nothing that the rounds have written is left but what the result reads."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    line = [word() for _ in range(24)]
+    groups = [[word() for _ in range(60)] for _ in range(3)]
+    near = lambda g: [w if rng.random() > 0.01 else word() for w in g]
+    items = [" ".join([*[word() for _ in range(30)], *line, *near(groups[k % 3]), *[word() for _ in range(30)]]) for k in range(45)]
+    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
+    staged, found = [], []
+    monkeypatch.setattr(passages, "stage", lambda df, name, f=passages.stage: staged.append(out := f(df, name)) or out)
+    for tile in (1 << 23, 1 << 9):
+        monkeypatch.setattr(passages, "TILE", tile)
+        staged.clear()
+        found.append(sorted(map(tuple, passages.near_passages(docs).collect())))
+        rounds = sum("passage-links" in df._staged for df in staged)
+    assert found[0] == found[1] and len({r[0] for r in found[0]}) > 40 and rounds > 10
+    kept = [df._staged.rsplit("/", 1)[1][:-33] for df in staged if os.path.isdir(df._staged.removeprefix("file://"))]
+    assert not {"passage-meetings", "passage-labels", "passage-left", "passage-said"} & set(kept)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_matched_from_both_sides(seed):
+    """What matching() finds from either side is found, whichever text comes first."""
+    rng = np.random.default_rng(seed)
+    for _ in range(200):
+        x, y = (rng.integers(0, 80, 150).astype(np.uint64) for _ in range(2))
+        y[20:90] = x[30:100]
+        y[rng.integers(0, 150, 12)] = 999
+        both, other = (passages.matched(*p, 46, 0.8) for p in ((x, y), (y, x)))
+        assert bool(both) == bool(other) == bool(passages.matching(x, y, 46, 0.8) or passages.matching(y, x, 46, 0.8))
