@@ -342,3 +342,48 @@ def test_matched_from_both_sides(seed):
         y[rng.integers(0, 150, 12)] = 999
         both, other = (passages.matched(*p, 46, 0.8) for p in ((x, y), (y, x)))
         assert bool(both) == bool(other) == bool(passages.matching(x, y, 46, 0.8) or passages.matching(y, x, 46, 0.8))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_regions_of_many_pairs_at_once(seed, monkeypatch):
+    """joined() finds for every pair of texts what regions() finds for it alone, also where few overlaps are looked at together."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(passages, "SOME", (4, 512)[seed % 2])
+    monkeypatch.setattr(passages, "OVERLAPS", 64)
+    rows, want = [], set()
+    for pair in range(0, 120, 2):
+        low, size = rng.integers(0, 300, (2, 1 + pair // 4)), rng.integers(40, 160, (2, 1 + pair // 4))
+        some = list(zip(*(v.tolist() for v in (low[0], low[0] + size[0], low[1], low[1] + size[1], rng.integers(0, 8, len(low[0])))), strict=True))
+        rows += [(pair, *r) for r in some]
+        want |= {(pair, *h) for h in passages.regions(some, 46, 3)}
+    got = passages.joined(*(np.array(c) for c in zip(*rows, strict=True)), 46, 3)
+    assert len(want) > 20 and set(zip(*(c.tolist() for c in got), strict=True)) == want
+    assert [len(c) for c in passages.joined(*[np.empty(0, np.int64)] * 6, 46, 3)] == [0] * 5
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_regions_without_a_passage_are_left(seed):
+    """A run that is too short for a passage is told without matching(), and no region with a passage is left."""
+    rng = np.random.default_rng(seed)
+    ones, others, want = [], [], []
+    for k in range(200):
+        x, y = (rng.integers(0, 90 if k % 2 else 1 << 47, 150).astype(np.uint64) for _ in range(2))
+        y[20 : 20 + 10 * (k % 10)] = x[30 : 30 + 10 * (k % 10)]
+        ones.append(passages.packed(x))
+        others.append(passages.packed(y))
+        want.append(bool(passages.matched(x, y, 46, 0.8)))
+    got = passages.hopeful(ones, others, 46, 0.8)
+    assert got[np.array(want)].all() and any(want)
+    assert not got[[k for k in range(0, 200, 2) if k % 10 < 4]].any()
+
+
+def test_shingles_tell_what_digests_tell():
+    texts = [b"", b" ", b"One", b"a b c d e", b"A\tb\nC d  e F", b"a b c d e f g a b c d e f", " ".join("w%d" % (k % 37) for k in range(400)).encode()]
+    ours, digests = (np.concatenate([f(t) for t in texts]) for f in (passages.shingles, lambda t: simhash.shingle_hashes(t, passages.WORDS)))
+    assert len(ours) == len(digests) and len(set(ours.tolist())) == len(set(digests.tolist())) == len(set(zip(ours.tolist(), digests.tolist(), strict=True)))
+
+
+def test_each_pair_of_tiles_has_a_partition(spark):
+    keys = passages.keys_apart(spark, 13)
+    df = spark.createDataFrame([(k,) for k in keys], "key long").repartition(13, "key")
+    assert len(keys) == len({r[0] for r in df.selectExpr("spark_partition_id()").collect()}) == 13
