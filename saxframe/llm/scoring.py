@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ SHORT = 4
 CONTEXT = 5
 NOTHING = b"\n" * CONTEXT
 #: Tokens whose decisions are made at once; a longer text is taken in stretches.
-RUN_TOKENS = 1 << 12
+RUN_TOKENS = 1 << 15
+#: Tokens whose decisions are counted at once.
+COUNTED = 1 << 12
 #: Tokens of a document after which its weights learn; a step is longer where it is less than a share of what came before.
 STEP, LATER = 64, 8
 #: The share of the longest safe step that weights take, and the curvature that they start against.
@@ -98,8 +101,10 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray]:
 class Code:
     """The frequent tokens, and the way of decisions to each of them, to the escape and to each byte.
 
-    A byte's tree is that of the byte before and a group of the one before that. node is a hash of the
-    tree and the node; its lowest bit is the decision.
+    A byte's tree is that of the byte before and a group of the one before that. A tree is cut into pieces of
+    three levels. node is, of each decision, a hash of the tree and its piece's top, then in four bits the place in
+    the piece and the decision: slots of one piece under one context are neighbours, of eight that lie in one line
+    of memory.
     """
 
     def __init__(self, frequent: list[tuple[bytes, int]], others: int, after: np.ndarray) -> None:
@@ -109,8 +114,11 @@ class Code:
 
         def add(weights: list[int], tree: int) -> np.ndarray:
             steps, length = huffman(weights)
-            x = scrambled((steps >> 1).astype(np.uint32) + np.uint32(tree))
-            node.append(x & ~np.uint32(1) | (steps & 1).astype(np.uint32))
+            level = (np.arange(len(steps)) - np.repeat(np.cumsum(length) - length, length)) % 3
+            top, bit = np.arange(len(steps)) - level, steps & 1
+            place = np.where(level == 0, 0, np.where(level == 1, 1 + bit[top], 3 + 2 * bit[top] + bit[np.minimum(top + 1, len(steps) - 1)]))
+            x = scrambled((steps[top] >> 1).astype(np.uint32) + np.uint32(tree))
+            node.append(x & ~np.uint32(15) | (2 * place + bit).astype(np.uint32))
             lengths.append(length)
             return length
 
@@ -158,7 +166,7 @@ class Texts:
         self.size = np.array([len(w) for w in texts_tokens], np.int64)
         self.start = np.cumsum(self.size) - self.size
         none = code.bytes_at - 1
-        self.id = np.array([code.number.get(w, none) for w in self.tokens], np.int64)
+        self.id = np.fromiter(map(code.number.get, self.tokens, repeat(none)), np.int64, len(self.tokens))
         self.rare = np.flatnonzero(self.id == none)
         n = len(self.id)
         name = scrambled(self.id.astype(np.uint32) + np.uint32(1))
@@ -210,18 +218,16 @@ def expanded(units: Units, code: Code, bits: int) -> tuple[list[np.ndarray], np.
     ends = np.cumsum(length, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     begins = ends - length
-    unit = np.zeros(total + 1, np.int64)
-    np.add.at(unit, begins, 1)
-    unit = np.cumsum(unit[:total]) - 1
-    k = (code.first[units.way] - begins)[unit]
+    k = np.repeat(code.first[units.way] - begins, length)
     k += np.arange(total)
     leaf = code.node[k]
-    node = leaf & ~np.uint32(1)
+    node, place = leaf & ~np.uint32(15), leaf >> np.uint32(1) & np.uint32(7)
     slots = []
     for h in units.hashes:
-        x = h[unit]
+        x = np.repeat(h, length)
         x += node
         x >>= np.uint32(32 - bits)
+        x ^= place
         slots.append(x.astype(np.intp))
     return slots, (leaf & np.uint32(1)).astype(np.uint8), np.append(begins, total)
 
@@ -374,8 +380,8 @@ def _counts(batches: Iterator[pa.RecordBatch], code, bits: int) -> Iterator[pa.R
     held = [np.zeros(2 << bits, np.uint32) for _ in range(PREDICTORS)]
     for batch in slices(batches):
         some = Texts([[*t.lower().split(), b""] for t in _fold(batch, texts(batch["text"]))], code.value)
-        for at in range(0, len(some.id), RUN_TOKENS):
-            slots, bit, _ = expanded(some.units(at, min(len(some.id), at + RUN_TOKENS)), code.value, bits)
+        for at in range(0, len(some.id), COUNTED):
+            slots, bit, _ = expanded(some.units(at, min(len(some.id), at + COUNTED)), code.value, bits)
             for h, s in zip(held, slots, strict=True):
                 s += s
                 s += bit
@@ -383,7 +389,8 @@ def _counts(batches: Iterator[pa.RecordBatch], code, bits: int) -> Iterator[pa.R
     for k, h in enumerate(held):
         for at in range(0, len(h), CHUNK):
             part = h[at : at + CHUNK]
-            for shift in (0, 8, 16, 24):
+            most = int(part.max())
+            for shift in range(0, most.bit_length(), 8):
                 plane = (part >> np.uint32(shift)).astype(np.uint8)
                 some = np.flatnonzero(plane)
                 if len(some):

@@ -262,3 +262,17 @@ def test_extraction_edges(spark):
     got = html.extract(pages).collect()
     assert len(got) == 4 and [r["text"] for r in got if r["page_id"] in (1, None)] == ["", ""]
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_slots_of_one_piece_of_a_tree_are_neighbours():
+    """Three decisions of a way under one context lie in one line of eight slots; decisions of different nodes in different slots."""
+    words = [(b"w%d" % k, 1000 - k) for k in range(300)]
+    code = scoring.Code(words, 50, np.zeros(scoring.GROUPS << 16, np.int64))
+    some = scoring.Texts([[w for w, _ in words] + [b"unknown", b""]], code)
+    units = some.units(0, len(some.id))
+    slots, bit, starts = scoring.expanded(units, code, 22)
+    for slot in slots:
+        for f, t in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            assert len(set((slot[f:t] >> 3).tolist())) <= -(-(t - f) // 3) and len(set(slot[f:t].tolist())) == t - f
+    way = lambda k: [(int(x) & ~1, int(b)) for x, b in zip(code.node[code.first[k] : code.first[k] + code.length[k]], bit[starts[k] : starts[k + 1]], strict=True)]
+    assert len({tuple(way(k)) for k in range(300)}) == 300 and len({x for k in range(300) for x, _ in way(k)}) == 300
